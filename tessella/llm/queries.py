@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .langid import predict_languages
 from .near_dup import near_duplicates
+from .packing import token_output
+from .quality_rules import quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from two thirds of the documents by crc32 of doc_id, predicts all."""
+    docs = _table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    held_out = F.coalesce(third == 1, F.lit(False)).alias("held_out")
+    found = predict_languages(docs, F.col("doc_id").isNotNull() & (third != 1))
+    return found.select("doc_id", held_out, "lang_pred", "score", "phrases_per_symbol")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity 0.85 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
 
 
-QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op5_language_id": op5_language_id,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_token_packing": op10_token_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+}
 
 #: Words of a text as DuckDB lists; chr() keeps the separators readable.
 SQL_WORDS = (
