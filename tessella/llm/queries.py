@@ -6,16 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import contaminated
 from .langid import predict_languages
 from .near_dup import near_duplicates
 from .packing import token_output
 from .quality_rules import quality_rules
+from .warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from two thirds of the documents by crc32 of doc_id, predicts all."""
     docs = _table(spark, sf_dir, "documents")
@@ -29,6 +35,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity 0.85 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
@@ -39,8 +49,10 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc_index": op8_warc_index,
     "op10_token_packing": op10_token_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }

@@ -33,10 +33,15 @@ def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return out, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Separators of words of letters and digits: every other ASCII character.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = [not chr(x).isalnum() for x in range(128)]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First bytes and lengths of all words, and the number of words before each text (n + 1 long)."""
     size = int(offsets[-1])
-    inside = ~_SEPARATOR[data[:size]]
+    inside = ~separator[data[:size]]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -70,6 +75,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return out
 
 
+def rolled_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each word on, whatever text they are of (fewer at the end)."""
+    out = np.zeros(len(hashes), np.uint64)
+    for k in range(min(n, len(hashes))):
+        out[: len(hashes) - k] = mixed((out[: len(hashes) - k] ^ hashes[k:]) * _M1 + np.uint64(k + 1))
+    return out
+
+
 def shingle_hashes(hashes: np.ndarray, word_at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-word shingles and the number of them before each text.
 
@@ -80,9 +93,7 @@ def shingle_hashes(hashes: np.ndarray, word_at: np.ndarray, n: int) -> tuple[np.
     at = np.concatenate(([0], np.cumsum(sizes)))
     if not len(hashes):
         return np.zeros(0, np.uint64), at
-    rolled = np.zeros(len(hashes), np.uint64)
-    for k in range(n):
-        rolled[: len(hashes) - k] = mixed((rolled[: len(hashes) - k] ^ hashes[k:]) * _M1 + np.uint64(k + 1))
+    rolled = rolled_hashes(hashes, n)
     keep = np.zeros(len(hashes) + 1, np.int64)
     full = counts >= n
     np.add.at(keep, word_at[:-1][full], 1)
