@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .decontamination import contaminated
 from .langid import predict_languages
+from .mixing import mix
+from .mixing import oracle as mix_oracle
 from .near_dup import near_duplicates
 from .packing import token_output
 from .quality_rules import quality_rules
@@ -22,6 +24,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from two thirds of the documents by crc32 of doc_id, predicts all."""
     docs = _table(spark, sf_dir, "documents")
@@ -50,6 +56,7 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_source_mixing": op2_source_mixing,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc_index": op8_warc_index,
@@ -63,6 +70,7 @@ SQL_WORDS = (
 )
 
 SQL = {
+    "op2_source_mixing": mix_oracle(),
     "op9_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, {SQL_WORDS.format(text="coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')")} AS ws
