@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from .decontamination import contaminated
 from .langid import predict_languages
+from .licenses import best_license, license_matches
 from .mixing import mix
 from .mixing import oracle as mix_oracle
 from .near_dup import near_duplicates
 from .packing import token_output
+from .pii import surrogate_texts
+from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .warc import archive_round_trip
 
@@ -28,6 +31,15 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_license(license_matches(_table(spark, sf_dir, "documents")))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in its text; the key is for tests, production keys are secrets."""
+    return surrogate_texts(_table(spark, sf_dir, "documents"), key=b"example key")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from two thirds of the documents by crc32 of doc_id, predicts all."""
     docs = _table(spark, sf_dir, "documents")
@@ -37,6 +49,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "phrases_per_symbol")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +73,10 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_source_mixing": op2_source_mixing,
+    "op3_license_scan": op3_license_scan,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_language_id": op5_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc_index": op8_warc_index,
     "op10_token_packing": op10_token_packing,
