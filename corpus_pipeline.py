@@ -1,24 +1,87 @@
-"""The corpus pipeline: documents in, packed token ids out."""
+"""The corpus pipeline: documents in, packed token ids out.
+
+Each stage works on all that the one before it kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessella.llm.decontamination import contaminated
+from tessella.llm.langid import predict_languages
+from tessella.llm.mixing import sample_documents
 from tessella.llm.near_dup import near_duplicates
+from tessella.llm.packing import token_output
+from tessella.llm.shared import BROADCAST_IDS, materialize, workdir
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: A text that needs more phrases a symbol than this in its best language is in none of those learnt.
+MOST_PHRASES = 0.5
+#: Symbols from which on that is asked: a few words say little.
+LEAST_SYMBOLS = 200
+
+
+def _without(docs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
+    """docs but for those ids; texts are only shuffled if the ids are too many to broadcast."""
+    ids = materialize(ids.filter("doc_id is not null").distinct(), folder)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter or a text, and those that no learnt language explains.
+
+    All documents with a lang may be learnt from. If none has one, only the first rule applies; a document
+    without doc_id stays unless its text is without letters.
+    """
+    found = predict_languages(docs, F.col("lang").isNotNull())
+    learnt = F.col("lang_pred") != "und"
+    strange = learnt & (F.col("phrases_per_symbol") > MOST_PHRASES) & (F.col("n_symbols") >= LEAST_SYMBOLS)
+    rejected = found.filter(strange).select("doc_id")
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    return _without(lettered, rejected, workdir(spark, "language-rejects"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest doc_id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each near-duplicate group stays: that of the smallest doc_id. Rows that repeat a doc_id go or stay together."""
+    rejected = near_duplicates(docs).filter("not kept").select("doc_id")
+    return _without(docs, rejected, workdir(spark, "near-dup-rejects"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, contaminated(docs, benchmark).select("doc_id"), workdir(spark, "benchmark-rejects"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of half the tokens, calibrated to the raked shares of sources, languages and topics."""
+    return sample_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the ids of every document; (doc_id, start, n_tokens, ids_crc32) read back from the files."""
+    return token_output(docs, TOKENIZER)
 
 
-STAGES = [("minhash near-dedup", near_dedup)]
+STAGES = [
+    ("5 language ID", language_id),
+    ("9 MinHash near-dedup", near_dedup),
+    ("1 benchmark decontamination", decontaminate),
+    ("2 mixing sources to target weights", mix_sources),
+    ("10 token-ID output", tokenize),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = workdir(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"{folder}/{k}")
     return docs

@@ -135,8 +135,8 @@ class Model:
         np.add.at(out, np.repeat(np.arange(len(texts)), counts), found)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, scores, and phrases a symbol in the language that won (null where there is none)."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores, phrases a symbol in the language that won (null where there is none), and symbols."""
         folded = [fold(x or "") for x in texts]
         sizes = np.array([len(x) for x in folded])
         names, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
@@ -153,7 +153,7 @@ class Model:
                 second = np.partition(cost, 1, axis=1)[:, 1]
                 score[own] = (second - lowest) / second
             rate[own] = phrases[np.arange(len(own)), best] / sizes[own]
-        return names, score, rate
+        return names, score, rate, sizes
 
 
 def learn(docs: DataFrame, among: Column) -> Model:
@@ -185,22 +185,23 @@ def learn(docs: DataFrame, among: Column) -> Model:
 def _predict(model):
     def run(batches):
         for batch in batches:
-            names, score, rate = model.value.predict(batch.column(1).to_pylist())
+            names, score, rate, sizes = model.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(names, pa.string()),
                     pa.array(score),
                     pa.array(rate, mask=np.isnan(rate)),
+                    pa.array(sizes, pa.int64()),
                 ],
-                ["doc_id", "lang_pred", "score", "phrases_per_symbol"],
+                ["doc_id", "lang_pred", "score", "phrases_per_symbol", "n_symbols"],
             )
 
     return run
 
 
 def predict_languages(docs: DataFrame, among: Column) -> DataFrame:
-    """(doc_id, lang_pred, score, phrases_per_symbol) of every row of docs(doc_id, text, lang, ...).
+    """(doc_id, lang_pred, score, phrases_per_symbol, n_symbols) of every row of docs(doc_id, text, lang, ...).
 
     ``among`` says which rows may be learnt from. lang_pred is a learnt language, or ``und`` with score 0
     if the text is null or has no letter, or if nothing was learnt. score is the share by which the
@@ -211,5 +212,5 @@ def predict_languages(docs: DataFrame, among: Column) -> DataFrame:
     prepare(spark)
     model = spark.sparkContext.broadcast(learn(docs, among))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _predict(model), "doc_id long, lang_pred string, score double, phrases_per_symbol double"
+        _predict(model), "doc_id long, lang_pred string, score double, phrases_per_symbol double, n_symbols long"
     )

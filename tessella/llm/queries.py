@@ -46,7 +46,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.crc32(F.col("doc_id").cast("string")) % 3
     held_out = F.coalesce(third == 1, F.lit(False)).alias("held_out")
     found = predict_languages(docs, F.col("doc_id").isNotNull() & (third != 1))
-    return found.select("doc_id", held_out, "lang_pred", "score", "phrases_per_symbol")
+    return found.select("doc_id", held_out, "lang_pred", "score", "phrases_per_symbol", "n_symbols")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from ..session import ship
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_FALLBACK = "file:///tmp/checkpoints/tessella"
+#: Ids broadcast at most.
+BROADCAST_IDS = 2_000_000
 #: Arrow batches sent to Python workers stay under both bounds.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
