@@ -11,7 +11,8 @@ radius meets in a key, and no other means of finding candidates is needed.
 Candidates are confirmed on full shingle sets. Exact copies of a set are one node from the start.
 Links go to the smallest node of a key's bucket first; a bucket whose nodes are then in one component
 is done, and only buckets that still hold several components are compared pair by pair, in blocks of
-bounded size, across components. So no bucket is expanded into all its pairs, and no link between
+bounded size, across components; of those pairs only the few leave their task that the parities of the
+sets, which bound their difference, allow to be links. So no bucket is expanded into all its pairs, and no link between
 different components is lost.
 """
 
@@ -27,15 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .graph import connected_components
-from .shared import materialize, prepare, workdir
+from .shared import BROADCAST_IDS, materialize, prepare, workdir
 from .textops import shingle_hashes, text_bytes, word_hashes, words
 
 #: Symbols of a signature; bits of a symbol; most differing bits of the sketches of a candidate pair.
 SYMBOLS, BITS, SKETCH_RADIUS = 64, 8, 20
+#: Bits of the parities that bound how far two sets differ.
+PARITY_BITS = 2048
 #: Nodes of a bucket that one task compares with one another or with so many others.
 BLOCK = 4096
-#: Ids broadcast at most; beyond that, texts are shuffled by id to find those of the candidates.
-BROADCAST_IDS = 2_000_000
 
 
 def radius_for(similarity: float, miss: float = 2e-5, symbols: int = SYMBOLS) -> int:
@@ -78,16 +79,27 @@ def _shingles_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(word_hashes(data, starts, lengths), word_at, n)
 
 
+def _parity(shingles: np.ndarray) -> bytes:
+    """For each of PARITY_BITS classes, whether an odd number of the set's shingles is in it.
+
+    Two sets' parities differ in as many bits as the sets differ in shingles, or fewer: a bound that
+    loses nothing, and that is close to the difference while that is well below PARITY_BITS.
+    """
+    counts = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def _fingerprint(n: int, symbols: int, seed: int):
     def run(batches):
         for batch in batches:
             shingles, at = _shingles_of(batch.column(1), n)
             signatures, sketches = _signatures(shingles, at, symbols, seed)
-            sizes, digests = [], []
+            sizes, digests, parities = [], [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 own = np.unique(shingles[lo:hi])
                 sizes.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                parities.append(_parity(own))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -95,8 +107,9 @@ def _fingerprint(n: int, symbols: int, seed: int):
                     pa.array(digests, pa.binary()),
                     pa.array([x.tobytes() for x in signatures], pa.binary()),
                     pa.array(sketches, pa.int64()),
+                    pa.array(parities, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "signature", "sketch"],
+                ["doc_id", "n_shingles", "digest", "signature", "sketch", "parity"],
             )
 
     return run
@@ -167,6 +180,7 @@ def _across(radius: int, percent: int):
         component, n = np.array([x[5] for x in rows]), np.array([x[6] for x in rows])
         sketch = np.array([x[7] for x in rows], np.int64)
         signature = np.frombuffer(b"".join(x[8] for x in rows), np.uint8).reshape(len(rows), -1)
+        parity = np.frombuffer(b"".join(x[9] for x in rows), np.uint64).reshape(len(rows), -1)
         left = np.flatnonzero(~side)
         right = np.flatnonzero(side) if side.any() else left
         found = []
@@ -175,6 +189,8 @@ def _across(radius: int, percent: int):
             others = others[100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k])]
             others = others[np.bitwise_count(sketch[others] ^ sketch[k]) <= SKETCH_RADIUS]
             others = others[(signature[others] != signature[k]).sum(axis=1) <= radius]
+            most = (100 - percent) * (n[others] + n[k]) // (100 + percent)  # shingles that a link may differ in
+            others = others[np.bitwise_count(parity[others] ^ parity[k]).sum(axis=1) <= most]
             found += [(min(node[k], x), max(node[k], x)) for x in node[others].tolist()]
         return sorted(set(found))
 
@@ -219,15 +235,17 @@ def near_duplicates(
     prints = materialize(
         texts.mapInArrow(
             _fingerprint(words_per_shingle, symbols, seed),
-            "doc_id long, n_shingles long, digest binary, signature binary, sketch long",
+            "doc_id long, n_shingles long, digest binary, signature binary, sketch long, parity binary",
         ),
         f"{work}/prints",
     )
     nodes = materialize(
         prints.filter("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "signature")).alias("x"))
-        .select("digest", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.sketch", "x.signature"),
+        .agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "signature", "parity")).alias("x"))
+        .select(
+            "digest", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.sketch", "x.signature", "x.parity"
+        ),
         f"{work}/nodes",
     )
     radius = radius_for(percent / 100, symbols=symbols)
@@ -277,8 +295,8 @@ def near_duplicates(
             "n",
             "sketch",
         )
-        .join(nodes.select("node", "signature").dropDuplicates(["node"]), "node")
-        .select("key", "i", "j", "side", "node", "component", "n", "sketch", "signature")
+        .join(nodes.select("node", "signature", "parity").dropDuplicates(["node"]), "node")
+        .select("key", "i", "j", "side", "node", "component", "n", "sketch", "signature", "parity")
     )
     across = (
         mixed.repartition("key", "i", "j")
@@ -301,7 +319,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, per
     """The pairs (a, b) whose full shingle sets are similar enough.
 
     Sets are made again from the texts, for the documents of the pairs only: sets of all documents would
-    take more room than the texts.
+    take more room than the texts. Over BROADCAST_IDS documents, texts are shuffled by id to find them.
     """
     pairs = materialize(pairs, f"{folder}/pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
