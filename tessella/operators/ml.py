@@ -7,6 +7,7 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from .analysis import class_weights, importance_topk, rare_class_filter
 from .evaluate import macro_f1
@@ -20,7 +21,8 @@ def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def stratified_split(rows: DataFrame, label: str = "label", part: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Training and test rows; each class gives its part, by a hash of the row's values."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns if c != "features"]), F.lit(1_000_000)) / 1_000_000
+    hashed = [f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType)]
+    draw = F.pmod(F.xxhash64(F.lit(seed), *hashed), F.lit(1_000_000)) / 1_000_000
     return rows.filter(draw >= part), rows.filter(draw < part)
 
 
