@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 BUCKETS = 8192
 #: A document with a mean log ratio below this is not kept.
 THRESHOLD = -0.15
-_SPACES = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
 def word_list(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text."""
-    return F.filter(F.split(F.translate(text, _SPACES, " " * 6), " "), lambda x: x != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def _let(value: Column, body) -> Column:
@@ -32,45 +31,44 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more.
+    """Words in 3-word windows that occur twice or more; windows of one text are told apart by 64-bit hashes.
 
-    Windows are sorted with their places; those equal to a neighbour repeat. The places that they cover
-    are then counted in order, each window adding what the one before it has not covered.
+    Where all hashes differ, none repeats. Elsewhere they are sorted with their places, and those equal to
+    a neighbour repeat. The places that they cover are then counted in order, each window adding what the
+    one before it has not covered.
     """
 
-    def count(sorted_windows: Column) -> Column:
+    def covered(ordered: Column) -> Column:
         twice = F.filter(
-            sorted_windows,
-            lambda x, i: (F.get(sorted_windows, i - 1)["w"] == x["w"]) | (F.get(sorted_windows, i + 1)["w"] == x["w"]),
+            ordered,
+            lambda x, i: (F.get(ordered, i - 1)["h"] == x["h"]) | (F.get(ordered, i + 1)["h"] == x["h"]),
         )
-        places = F.array_sort(F.transform(twice, lambda x: x["i"]))
         return F.aggregate(
-            places,
+            F.sort_array(F.transform(twice, lambda x: x["i"])),
             F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
-            lambda acc, i: F.struct(
-                (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")
-            ),
+            lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")),
             lambda acc: acc["n"],
         )
 
-    windows = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")),
-    )
-    return _let(F.array_sort(windows), count)
+    def counted(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_let(placed, covered))
+
+    starts = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    return _let(F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), counted)
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) with words (an array) and the base columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     with_words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), word_list(text).alias("words"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = with_words.select(
         "doc_id",
         "words",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", _SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
+        F.regexp_count("text", F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )
@@ -81,9 +79,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def trusted() -> Column:
     """Strict rules on base columns: such documents are the target that others are compared with."""
     n = F.col("n_words")
-    return ~F.col("base_failed") & (50 * F.col("n_symbols") <= n) & (10 * F.col("n_repeat_words") <= n) & (
-        F.col("word_chars").between(3 * n, 12 * n)
-    ) & (F.col("n_dup_lines") == 0)
+    return (n >= 50) & (50 * F.col("n_symbols") <= n) & F.col("word_chars").between(3 * n, 12 * n) & (F.col("n_dup_lines") == 0)
 
 
 def bucket(*parts: Column) -> Column:
