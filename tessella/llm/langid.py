@@ -96,9 +96,11 @@ class Model:
         parts, self.roots, base = [], [], 0
         for x in self.languages:
             nxt = suffix_automaton(samples[x])
-            root = nxt[0]
-            fresh = np.where(root >= 0, root, 0)
+            dead = len(nxt)  # after a symbol that the sample lacks, which is a phrase by itself
+            fresh = np.where(nxt[0] >= 0, nxt[0], dead)
+            nxt = np.concatenate((nxt, np.full((1, ALPHABET), -1, np.int32)))
             table = np.where(nxt >= 0, nxt, fresh | _NEW)
+            table[0] = fresh
             table = (table & (_NEW - 1)) * ALPHABET + base * ALPHABET | (table & _NEW)
             table[:, PAD] = (np.arange(len(nxt)) + base) * ALPHABET
             parts.append(table.astype(np.int32))
