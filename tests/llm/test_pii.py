@@ -1,0 +1,81 @@
+import re
+
+import pytest
+
+from tessella.llm import pii
+from tessella.llm.pii import Surrogates, assign_surrogates, detect, luhn, surrogate_texts
+
+KEY = b"test"
+TEXT = (
+    "Mail jo.do@mail.example.com or JO.DO@MAIL.EXAMPLE.COM, host 10.20.30.40, card 4845 1681 1440 7329 not 4845168114407328, "
+    "call +1 (017) 555-7713 or (212) 555-1234, SSN 123-45-6789, token=4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e. "
+    "Mrs Anna Smith met Mr. Anna Smith. Smith left. г-жа Иванова."
+)
+
+
+def test_kinds():
+    found = [(k, TEXT[a:b]) for a, b, k, _ in detect(TEXT)]
+    assert ("email", "jo.do@mail.example.com") in found and ("ip", "10.20.30.40") in found
+    assert ("card", "4845 1681 1440 7329") in found and all("407328" not in x for _, x in found)
+    assert ("phone", "+1 (017) 555-7713") in found and ("phone", "(212) 555-1234") in found
+    assert ("ssn", "123-45-6789") in found and sum(k == "secret" for k, _ in found) == 1
+    assert [x for k, x in found if k == "name"] == ["Anna Smith", "Anna Smith", "Smith", "Иванова"]
+
+
+@pytest.mark.parametrize("clean", ["version 1.2.3.4.5", "300.1.1.1", "a@b", "12345", "2024-01-02", "Mr. lower case", "", "1,234,567.89"])
+def test_clean_texts(clean):
+    assert detect(clean) == []
+
+
+def test_formats_are_kept():
+    made = Surrogates(KEY)
+    assert re.fullmatch(r"[a-z]{2}\.[a-z]{2}@[a-z]{4}\.[a-z]{7}\.com", made.of("email", "jo.do@mail.example.com"))
+    card = made.of("card", "4845168114407329")
+    assert luhn(card) and len(card) == 16 and card[0] == "4"
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", made.of("phone", "+1 (017) 555-7713"))
+    assert re.fullmatch("[0-9a-f]{40}", made.of("secret", "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"))
+    assert re.fullmatch("[А-Я][а-я]{6}", made.of("name", "f:Иванова"))
+    given = made.of("name", "f:Anna Smith").split()[0]
+    assert given in pii.GIVEN["latin", "f"]
+
+
+def test_permutations_are_one_to_one():
+    made = Surrogates(KEY)
+    for size in (1, 2, 10, 999):
+        assert sorted(made.permute(x, size, "t") for x in range(size)) == list(range(size))
+    assert len({made.format_preserving(f"{k:03d}", "t") for k in range(1000)}) == 1000
+
+
+def test_coreference_and_distinctness(spark, tmp_path):
+    people = [f"Mr. {g} {f}" for f in ("Smith", "Jones") for g in ("Al", "Bo", "Cy", "Di", "Ed", "Flo", "Gus", "Hal", "Ike", "Jo", "Kay", "Lou")]
+    rows = [(k, f"{p} spoke. {p.split()[-1]} left. x{k % 5}@example.org") for k, p in enumerate(people)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    table = assign_surrogates(frame, KEY, str(tmp_path)).toPandas()
+    whole = table[~table.normal.str.endswith("/last")]
+    assert not whole.duplicated(["kind", "surrogate"]).any() and (table.attempt > 0).any()
+    found = {r.doc_id: r for r in surrogate_texts(frame, KEY).collect()}
+    assert len({found[k].text.split(" spoke")[0] for k, _ in rows}) == len(people)
+    assert {found[k].text.split()[-1] for k, _ in rows} == {found[k].text.split()[-1] for k in range(5)}
+    for k, text in rows:
+        assert not set(re.findall("Smith|Jones|example", text)) & set(re.findall(r"\w+", found[k].text))
+
+
+def test_joined_path_gives_the_same(spark, monkeypatch):
+    people = [f"Mr. {g} Smith" for g in ("Al", "Bo", "Cy", "Di", "Ed", "Flo", "Gus", "Hal", "Ike", "Jo", "Kay", "Lou")]
+    frame = spark.createDataFrame([*enumerate(people), (99, None), (98, "clean")], "doc_id long, text string")
+    first = {r.doc_id: r.text for r in surrogate_texts(frame, KEY).collect()}
+    monkeypatch.setattr(pii, "BROADCAST_CHANGED", -1)
+    assert {r.doc_id: r.text for r in surrogate_texts(frame, KEY).collect()} == first
+
+
+def test_edges(edge_docs, empty_docs):
+    before = sorted(((r.doc_id is None, r.doc_id, r.text or "") for r in edge_docs.collect()), key=str)
+    found = surrogate_texts(edge_docs, KEY).collect()
+    assert sorted(((r.doc_id is None, r.doc_id, r.text or "") for r in found), key=str) == before
+    assert all(r.n_entities == 0 and r.kinds == [] for r in found)
+    assert surrogate_texts(empty_docs, KEY).count() == 0
+
+
+def test_many_entities_in_one_text():
+    text = " ".join(f"a{k}@example.com" for k in range(20_000))
+    assert len(detect(text)) == 20_000
