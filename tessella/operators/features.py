@@ -129,11 +129,10 @@ def token_features(
         )
         page = W.Window.partitionBy("page_id")
         rows = rows.withColumn("place", F.row_number().over(page.orderBy("position")) - 1)
-    else:
-        rows = rows.withColumn("place", F.col("position"))
     rows = neighbour_features(rows)
     rows = window_features(rows, ["length", "avg_word_length"], 2)
-    rows = block_features(rows, F.col("text").contains(delimiter), F.lower("text").contains(keyword), strict=strict)
+    place = "place" if strict else "position"
+    rows = block_features(rows, F.col("text").contains(delimiter), F.lower("text").contains(keyword), order=place, strict=strict)
     structural = set(structure_features(F.lit(0)))
     return rows.select(
         "page_id", "position", "text", "tag", "classes", "path_length",

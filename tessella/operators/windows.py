@@ -23,6 +23,8 @@ def page_features(rows: DataFrame, page: str = "page_id", order: str = "position
     whole, ordered = W.Window.partitionBy(page), W.Window.partitionBy(page).orderBy(order)
     same = W.Window.partitionBy(page, "text")
     low = F.array_distinct(F.transform("words", lambda w: F.lower(w)))
+    # sorts that serve later windows come last: by text, then none, then by position
+    rows = rows.withColumn("token_repeated_in_page", F.count("*").over(same).cast("double"))
     rows = rows.withColumns(
         {
             "total": F.count("*").over(whole),
@@ -33,12 +35,11 @@ def page_features(rows: DataFrame, page: str = "page_id", order: str = "position
             "length_zscore": zscore("length", whole),
             "n_words_zscore": zscore("n_words", whole),
             "normalized_token_length": share(F.col("length"), F.avg("length").over(whole)),
-            "before": F.lag("length", 1, 0.0).over(ordered),
-            "after": F.lead("length", 1, 0.0).over(ordered),
-            "token_repeated_in_page": F.count("*").over(same).cast("double"),
-            "low": low,
         }
     )
+    rows = rows.withColumns(
+        {"before": F.lag("length", 1, 0.0).over(ordered), "after": F.lead("length", 1, 0.0).over(ordered), "low": low}
+    )
     return rows.withColumns(
         {
             "relative_position": share(F.col(order), F.col("total") - 1),
