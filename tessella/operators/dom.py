@@ -225,6 +225,7 @@ NUMBERS = (
     "images", "other_sibling_chars", "other_sibling_tags", "has_parent", "block_child_tags", "block_depth", "block_strings",
     "block_chars", "block_tags", "block_height", "block_periods", "block_words", "block_word_mean", "block_word_std",
     "block_special", "block_digits", "outer_chars", "outer_tags", "block_size", "block_gap", "block_repeats", "path_length", "vocabulary",
+    "block_structure", "style_parts", "sibling_count",
 )
 
 
@@ -336,6 +337,8 @@ class PageTokens:
             "other_sibling_chars": (peers["chars"] - s.own_chars) / others if others > 0 else 0.0,
             "other_sibling_tags": (peers["tags"] - s.n_child_tags) / others if others > 0 else 0.0,
             "has_parent": float(parent is not None), "path_length": s.depth + 1,
+            "style_parts": sum(bool(x.strip()) for x in style.split(";")), "sibling_count": peers["n"],
+            "block_structure": self.ids[(parent or node).index],
         }
         self.of_node[node.index] = numbers
         return numbers

@@ -1,4 +1,8 @@
-"""The second variant of some ordered features: other block, tie and spread rules under the same names."""
+"""The second variant of the extractor: other block, tie and spread rules under the same names.
+
+A block is what shares a parent element (parents of equal markup count as one). Features that this
+module doesn't redefine are those of the first variant.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.text import share
+from ..functions.chars import LETTER, UPPER
+from ..functions.text import count_of, share, word_list
+from .dom import parsed_tokens
+from .features import FEATURES, token_features
+
+#: What the second variant takes for a price and for a number of rooms.
+PRICE_PATTERN = r"\b\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?\s*€\b"
+ROOMS_PATTERN = r"\d+ locali?"
 
 
 def order_features(rows: DataFrame, value: str = "length", page: str = "page_id", order: str = "position") -> DataFrame:
@@ -25,27 +36,62 @@ def order_features(rows: DataFrame, value: str = "length", page: str = "page_id"
 def block_features(
     rows: DataFrame, delimiter: Column, keyword: Column, block: str = "block", value: str = "length", page: str = "page_id", order: str = "position"
 ) -> DataFrame:
-    """Blocks are given; equal values share the smallest rank; distances are from the page's last delimiter."""
+    """Blocks are given; equal values share the smallest rank; distances are from the page's last delimiter.
+
+    Without a delimiter in the page, the distance is 0 and nothing is between.
+    """
     within, whole = W.Window.partitionBy(page, block), W.Window.partitionBy(page)
     spread = F.stddev_pop(value).over(within)
     keyed = F.when(keyword, F.col(order))
+    last = F.max(F.when(delimiter, F.col(order))).over(whole)
+    inside = last.isNotNull() & (F.min(keyed).over(whole) < F.col(order)) & (F.col(order) < F.max(keyed).over(whole))
     return rows.withColumns(
         {
             "length_rank_in_block": F.rank().over(within.orderBy(F.desc(value))).cast("double"),
             "length_z_to_block_median": (F.col(value) - F.median(value).over(within)) / F.when(spread == 0, 1.0).otherwise(spread),
-            "dist_from_last_price_token": F.abs(F.col(order) - F.coalesce(F.max(F.when(delimiter, F.col(order))).over(whole), F.lit(-1))).cast("double"),
-            "is_between_price_and_locali": F.when((F.min(keyed).over(whole) < F.col(order)) & (F.col(order) < F.max(keyed).over(whole)), 1.0).otherwise(0.0),
+            "dist_from_last_price_token": F.coalesce(F.abs(F.col(order) - last), F.lit(0)).cast("double"),
+            "is_between_price_and_locali": F.when(inside, 1.0).otherwise(0.0),
         }
     )
 
 
 def pair_distance(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """Mean distance of all pairs of positions of a group, from sorted positions in one pass: no pair is made.
+    """Mean distance of all n * n ordered pairs of positions of a group, in one pass over sorted positions.
 
-    The k-th of n sorted positions is added k times and subtracted n - 1 - k times.
+    No pair is made: the k-th of n sorted positions is added k times and subtracted n - 1 - k times.
     """
     group = W.Window.partitionBy(*keys)
     ranked = rows.select(*keys, order, (F.row_number().over(group.orderBy(order)) - 1).alias("_k"), F.count("*").over(group).alias("_n"))
     total = F.sum(F.col(order) * (2 * F.col("_k") - F.col("_n") + 1))
     n = F.max("_n")
-    return ranked.groupBy(*keys).agg(share(total, n * (n - 1) / 2).alias(name))
+    return ranked.groupBy(*keys).agg(share(2 * total, n * n).alias(name))
+
+
+def fast_token_features(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
+    """The hundred features by the second variant's rules, as ``page_token_features`` gives them by the first's."""
+    tokens = parsed_tokens(pages, id_column, html_column)
+    rows = token_features(tokens, keep=("block_structure", "depth", "style_parts", "sibling_count"))
+    rows = rows.withColumnRenamed("block_structure", "block")
+    whole, within = W.Window.partitionBy("page_id"), W.Window.partitionBy("page_id", "block")
+    rows = order_features(rows)
+    rows = block_features(rows, F.col("text").rlike(f"(?U){PRICE_PATTERN}"), F.lower("text").rlike(f"(?U){ROOMS_PATTERN}"))
+    words = word_list(F.col("text"))
+    n, k = F.count("*").over(within), F.row_number().over(within.orderBy("position")) - 1
+    total = F.sum(F.col("position") * (2 * F.col("_k") - F.col("_n") + 1)).over(within)
+    rows = rows.withColumns({"_n": n, "_k": k, "_depth": F.max("depth").over(whole)})
+    ratio = share(F.col("depth") + 1, F.col("_depth"))
+    rows = rows.withColumns(
+        {
+            "n_words_zscore": share(F.col("n_words") - F.avg("n_words").over(whole), F.stddev_pop("n_words").over(whole)),
+            "relative_depth_ratio": ratio,
+            "normalized_block_area": ratio * F.col("relative_position"),
+            "n_style_properties": F.col("style_parts"),
+            "avg_sibling_text_length": F.when(F.col("sibling_count") > 1, F.col("avg_sibling_text_length")).otherwise(0.0),
+            "dom_path_length": F.col("path_length"),
+            "capital_ratio": share(count_of(F.col("text"), UPPER), count_of(F.col("text"), LETTER)),
+            "uniq_ratio": share(F.size(F.array_distinct(words)), F.size(F.array_distinct(F.flatten(F.collect_set(words).over(whole))))),
+            "token_dist_to_block_mid": share(F.abs(F.col("_k") - (F.col("_n") - 1) / 2), F.col("_n")),
+            "block_avg_token_distance": share(2 * total, F.col("_n") * F.col("_n")),
+        }
+    )
+    return rows.select("page_id", "position", "text", "tag", *[F.col(c).cast("double").alias(c) for c in FEATURES])

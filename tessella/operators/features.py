@@ -112,8 +112,9 @@ def token_features(
     keyword: str = KEYWORD,
     title_words: tuple[str, ...] = TITLE_WORDS,
     strict: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(page_id, position, text, tag, classes, path_length, *FEATURES) of rows of ``parsed_tokens``.
+    """(page_id, position, text, tag, classes, path_length, *keep, *FEATURES) of rows of ``parsed_tokens``.
 
     One exchange by page serves every window. Where a deviation that divides is 0 the score is 0; with
     strict, rows and pages that such a division, an unreadable style number or a missing own position
@@ -135,7 +136,7 @@ def token_features(
     rows = block_features(rows, F.col("text").contains(delimiter), F.lower("text").contains(keyword), order=place, strict=strict)
     structural = set(structure_features(F.lit(0)))
     return rows.select(
-        "page_id", "position", "text", "tag", "classes", "path_length",
+        "page_id", "position", "text", "tag", "classes", "path_length", *keep,
         *[F.col(f"f_{x}" if x in structural else x).cast("double").alias(x) for x in FEATURES],
     )
 

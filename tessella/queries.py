@@ -313,8 +313,8 @@ _FAST = f"""{_PAGED}, q AS (SELECT page_id, position, position // 5 AS block, le
 @query(
     f"""WITH {_FAST} SELECT page_id, position, CAST(rank() OVER (PARTITION BY page_id, block ORDER BY length DESC) AS DOUBLE) AS length_rank_in_block,
   round((length - median(length) OVER b) / (CASE WHEN stddev_pop(length) OVER b = 0 THEN 1 ELSE stddev_pop(length) OVER b END), 6) + 0.0 AS length_z_to_block_median,
-  CAST(abs(position - coalesce(max(CASE WHEN mark THEN position END) OVER (PARTITION BY page_id), -1)) AS DOUBLE) AS dist_from_last_price_token,
-  CASE WHEN min(CASE WHEN key THEN position END) OVER (PARTITION BY page_id) < position AND position < max(CASE WHEN key THEN position END) OVER (PARTITION BY page_id) THEN 1.0::DOUBLE ELSE 0.0 END AS is_between_price_and_locali
+  CAST(coalesce(abs(position - max(CASE WHEN mark THEN position END) OVER (PARTITION BY page_id)), 0) AS DOUBLE) AS dist_from_last_price_token,
+  CASE WHEN bool_or(mark) OVER (PARTITION BY page_id) AND min(CASE WHEN key THEN position END) OVER (PARTITION BY page_id) < position AND position < max(CASE WHEN key THEN position END) OVER (PARTITION BY page_id) THEN 1.0::DOUBLE ELSE 0.0 END AS is_between_price_and_locali
 FROM q WINDOW b AS (PARTITION BY page_id, block)"""
 )
 def fast_block_features(spark, sf_dir):
@@ -328,7 +328,7 @@ def fast_block_features(spark, sf_dir):
 
 @query(
     f"""WITH {_FAST} SELECT a.page_id, a.block, round(coalesce(avg(abs(a.position - b.position)), 0), 6) AS block_avg_token_distance
-FROM q a LEFT JOIN q b ON a.page_id = b.page_id AND a.block = b.block AND a.position < b.position GROUP BY ALL"""
+FROM q a LEFT JOIN q b ON a.page_id = b.page_id AND a.block = b.block GROUP BY ALL"""
 )
 def fast_pair_distance(spark, sf_dir):
     rows = _lengths(spark, sf_dir).withColumn("block", F.floor(F.col("position") / 5))
@@ -379,6 +379,11 @@ def token_feature_table(spark, sf_dir):
     return page_token_features(table(spark, sf_dir, "pages")).drop("classes")
 
 
+@query()
+def token_feature_table_fast(spark, sf_dir):
+    return fast.fast_token_features(table(spark, sf_dir, "pages"))
+
+
 @query()
 def token_feature_table_strict(spark, sf_dir):
     return page_token_features(table(spark, sf_dir, "pages"), strict=True).drop("classes")

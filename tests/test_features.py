@@ -82,3 +82,17 @@ def test_quirks(page):
     assert [r["relative_depth_ratio"] for r in found] == [2.5, 2.5]  # ancestors + 1 / greatest depth
     assert {r["dom_path_length"] for r in found} == {1.0} and found[0]["path_length"] == 3
     assert found[0]["neigh_len_diff"] == pytest.approx((2 + 1) / 2)
+
+
+def test_second_variant(spark):
+    from tessella.operators.fast import fast_token_features
+
+    html = "<div><p>aa Bb</p><p>aa</p><p>cccc €</p></div>"
+    found = [r.asDict() for r in fast_token_features(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("position").collect()]
+    assert [r["length_rank_in_block"] for r in found] == [2, 3, 1]
+    assert [r["percentile_token_length"] for r in found] == pytest.approx([2 / 3, 1 / 3, 1])
+    assert [r["token_distance_to_next"] for r in found] == [2, 6, 0]
+    assert {r["dom_path_length"] for r in found} == {3} and found[0]["capital_ratio"] == 0.25
+    assert [r["token_dist_to_block_mid"] for r in found] == pytest.approx([1 / 3, 0, 1 / 3])
+    assert {round(r["block_avg_token_distance"], 6) for r in found} == {round(8 / 9, 6)}
+    assert [r["uniq_ratio"] for r in found] == [0.5, 0.25, 0.5]
