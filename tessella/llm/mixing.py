@@ -8,7 +8,7 @@ wanted ones. The draw of a document is a hash of its id, so it is the same at an
 
 Only the table of cells is iterated on. It has a row for each combination, not for each document; while
 it has at most CELLS rows one task holds it and the sweeps need no shuffle, and its probabilities are
-broadcast; beyond that the same plan runs with shuffles.
+broadcast; beyond that sums are aggregated and joined back, a step at a time.
 """
 
 from __future__ import annotations
@@ -95,11 +95,48 @@ def probabilities(cells: DataFrame, keep_share: float, powers: dict | None = Non
     return rows.select(*DIMENSIONS, F.col("w").alias("raked_share"), probability.alias("probability"))
 
 
+def _value(rows: DataFrame, total: Column) -> float:
+    return float(rows.agg(total).first()[0] or 0.0)
+
+
+def many_probabilities(cells: DataFrame, keep_share: float, folder: str, powers: dict | None = None) -> DataFrame:
+    """``probabilities`` for cells too many for one task, however unevenly their values are spread.
+
+    Sums by value are partial aggregates joined back, each step is written to ``folder``, and the common
+    factor is found by raising it until no further cell reaches 1.
+    """
+    powers = powers or POWERS
+    total = _value(cells, F.sum("tokens"))
+    rows = cells.withColumn("share", F.col("tokens") / F.lit(total) if total else F.lit(0.0))
+    for d in DIMENSIONS:
+        sums = materialize(rows.groupBy(d).agg(F.pow(F.sum("share"), F.lit(powers[d])).alias("p")).filter("p > 0"), f"{folder}/targets-{d}")
+        norm = _value(sums, F.sum("p"))
+        rows = rows.join(sums.select(d, (F.col("p") / F.lit(norm)).alias(f"t_{d}")), d, "left").fillna(0.0, [f"t_{d}"])
+    rows = materialize(rows.withColumn("w", F.col("share")), f"{folder}/rake-start")
+    for k in range(SWEEPS):
+        for d in DIMENSIONS:
+            sums = rows.groupBy(d).agg(F.sum("w").alias("n"))
+            scaled = F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), F.col("n")), F.lit(0.0))
+            rows = materialize(rows.join(sums, d).withColumn("w", scaled).drop("n"), f"{folder}/rake-{k}-{d}")
+    rows = rows.withColumn("ratio", F.try_divide("w", "share"))
+    factor, capped = 0.0, -1.0
+    while True:
+        full = F.coalesce(F.lit(factor) * F.col("ratio") > 1, F.lit(False))
+        sums = rows.agg(F.sum(F.when(full, F.col("share"))).alias("s"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if (sums.s or 0.0) == capped or not sums.w:
+            break
+        capped = sums.s or 0.0
+        factor = max(factor, (keep_share - capped) / sums.w)
+    probability = F.coalesce(F.least(F.lit(1.0), F.lit(factor) * F.col("ratio")), F.lit(0.0))
+    return rows.select(*DIMENSIONS, F.col("w").alias("raked_share"), probability.alias("probability"))
+
+
 def fitted(slim: DataFrame, keep_share: float, folder: str, powers: dict | None = None) -> DataFrame:
     """Probabilities by cell of slim(source, lang, topic, n_tokens), marked for broadcast if there are few."""
     cells = materialize(slim.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), f"{folder}/cells")
     few = cells.count() <= CELLS
-    found = materialize(probabilities(cells.coalesce(1) if few else cells, keep_share, powers), f"{folder}/probabilities")
+    found = probabilities(cells.coalesce(1), keep_share, powers) if few else many_probabilities(cells, keep_share, folder, powers)
+    found = materialize(found, f"{folder}/probabilities")
     return F.broadcast(found) if few else found
 
 
