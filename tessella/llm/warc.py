@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
         marked.filter((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull())
         .select("sha", "page_id", "url")
         .groupBy("sha")
-        .agg(F.min(F.struct("page_id", "url")).alias("x"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("page_id", "url")).alias("x"))
     )
     whole = marked.join(firsts, "sha", "left").select(
         "page_id", "url", "html", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url")
