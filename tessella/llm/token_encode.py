@@ -11,6 +11,7 @@ which the tests check against the library on arbitrary strings.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,9 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         for lo in range(0, len(pieces), 4096):
             part = pieces[lo : lo + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             row, sizes = len(self.rows), np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+            ids = np.array(list(chain.from_iterable(found)), np.uint32)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             while row + len(part) > len(self.first):
@@ -69,7 +70,7 @@ class PieceEncoder:
         base = int(offsets[0])
         text = np.frombuffer(data, np.uint8, int(offsets[-1]) - base, base) if data else np.zeros(0, np.uint8)
         offsets = offsets - base
-        cuts = np.union1d(_cuts(text), offsets)
+        cuts = _merged(_cuts(text), offsets)
         pieces = pa.LargeStringArray.from_buffers(
             len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text)
         ).dictionary_encode()
@@ -98,7 +99,13 @@ def _cuts(text: np.ndarray) -> np.ndarray:
     space, line = alone & (own == 32), alone & (own == 10)
     latin = (lead == 0xC3) & (left != 0x97) & (left != 0xB7) & (left < 0xC0) & (left >= 128)
     mark = (own > 32) & (_LETTERS[left] | latin)
-    return np.union1d(at[space | line | mark], at[line] + 1)
+    return _merged(at[space | line | mark], at[line] + 1)
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct numbers of two sorted arrays, in order."""
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    return both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
 
 
 def encoder(tokenizer_json: str) -> PieceEncoder:
