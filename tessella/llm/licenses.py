@@ -1,7 +1,8 @@
 """License scans: Dice coefficient over word bigrams against license templates.
 
 Text is normalised to lower-cased words of letters and digits. A template is compared with runs of
-consecutive lines, and so with whole texts too. Dice = 2 * common / (run's bigrams + template's
+consecutive lines, and so with whole texts too; where no run of lines reaches ``least``, with runs of
+words that begin and end anywhere inside lines. Dice = 2 * common / (run's bigrams + template's
 bigrams), bigrams counted as often as they occur. From least / (2 - least) to (2 - least) / least times
 the template's bigrams is the only size that can reach ``least``; a document is only compared with
 templates of which it holds the least number of bigrams that such a run must share.
@@ -9,7 +10,10 @@ templates of which it holds the least number of bigrams that such a run must sha
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections import Counter
+from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +106,80 @@ def _bigrams_of(column: pa.Array) -> tuple[np.ndarray, ...]:
     return data, offsets, starts, word_at, rolled_hashes(word_hashes(data, starts, lengths), 2)
 
 
+class Match(NamedTuple):
+    row: int
+    license: str
+    dice: float
+    first_line: int
+    last_line: int
+    #: Of the most similar run of words: common bigrams times Dice, and its first and last bigram.
+    weight: float
+    first: int
+    last: int
+    whole_lines: bool
+
+
+class _Hits:
+    """The bigrams of a text that a template has. Runs go from first[i] to before after[j], in words, for i <= j."""
+
+    def __init__(self, counts: dict[int, int], size: int, least: float, need: int, places: np.ndarray, values: np.ndarray):
+        self.size, self.least, self.need, self.places = size, least, need, places
+        self.most = int(size * (2 - least) / least + 1e-9)
+        order = np.argsort(values, kind="stable")
+        group = np.flatnonzero(np.concatenate(([True], values[order][1:] != values[order][:-1])))
+        sizes = np.diff(np.append(group, len(order)))
+        rank = np.arange(len(order)) - np.repeat(group, sizes)
+        times = np.repeat([counts[v] for v in values[order][group].tolist()], sizes)
+        #: A hit counts in a run unless the run holds, before it, as many equal ones as the template: from this hit on.
+        self.back = np.full(len(order), -1)
+        late = np.flatnonzero(rank >= times)
+        self.back[order[late]] = order[late - times[late]]
+
+    def runs(self, first: np.ndarray, after: np.ndarray, taken: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+        """(Dice, first word, word after) of runs that reach ``least`` and don't overlap: the best, the best beside it, and so on.
+
+        Of equals the first counts. ``taken`` holds borders in words of what is excluded, and gets those of the runs.
+        """
+        begin, end = np.searchsorted(self.places, first), np.searchsorted(self.places, after - 1)
+        stop = np.searchsorted(after, first + self.most + 1, "right")
+        rich = np.flatnonzero(stop > np.arange(len(first)))
+        rich = rich[end[stop[rich] - 1] - begin[rich] >= self.need]
+
+        def best(i: int) -> tuple[float, int, int] | None:
+            at, to = bisect_right(taken, (first[i], np.inf)), stop[i]
+            if at and taken[at - 1][1] > first[i]:
+                return None
+            if at < len(taken):
+                to = min(to, np.searchsorted(after, taken[at][0], "right"))
+            if to <= i or end[to - 1] - begin[i] < self.need:
+                return None
+            common = np.concatenate(([0], np.cumsum(self.back[begin[i] : end[to - 1]] < begin[i])))[np.maximum(end[i:to] - begin[i], 0)]
+            dice = 2 * common / (after[i:to] - first[i] - 1 + self.size)
+            j = int(np.argmax(dice))
+            return (-float(dice[j]), i, i + j) if dice[j] >= self.least else None
+
+        heap, out = [x for i in rich.tolist() if (x := best(i))], []
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            if (now := best(top[1])) == top:
+                run = int(first[top[1]]), int(after[top[2]])
+                insort(taken, run)
+                out.append((-top[0], *run))
+            elif now:
+                heappush(heap, now)
+        return out
+
+    def words(self, a: int, b: int) -> tuple[float, int, int]:
+        """The most similar run of words among words a to before b: its weight, first and last bigram."""
+        places = self.places[(self.places >= a) & (self.places < b - 1)]
+        dice, first, after = self.runs(places, places + 2, [(-1, a), (b, b + 1)])[0]
+        return self.weight(dice, first, after)
+
+    def weight(self, dice: float, first: int, after: int) -> tuple[float, int, int]:
+        return dice * dice * (after - first - 1 + self.size) / 2, first, after - 2
+
+
 class TemplateIndex:
     def __init__(self, templates: dict[str, str], least: float):
         self.names, self.least = sorted(templates), least
@@ -112,55 +190,72 @@ class TemplateIndex:
         pairs = sorted((h, k) for k, x in enumerate(self.counts) for h in x)
         self.hashes = np.array([h for h, _ in pairs], np.uint64)
         self.owners = np.array([k for _, k in pairs], np.int64)
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[self.hashes >> np.uint64(48)] = True
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[self.hashes >> np.uint64(44)] = True
 
-    def scan(self, column: pa.Array) -> list[tuple[int, str, float, int, int]]:
-        """(row, license, dice, first line, last line) of the best run for each template that a text holds."""
+    def matches(self, column: pa.Array) -> list[Match]:
+        """All runs of lines, and of words beside them, that templates match; those of one template don't overlap."""
         data, offsets, starts, word_at, hashes = _bigrams_of(column)
         if not len(hashes) or not len(self.hashes):
             return []
         doc = np.searchsorted(word_at, np.arange(len(hashes)), "right") - 1
         inside = np.arange(len(hashes)) + 1 < word_at[doc + 1]
-        maybe = np.flatnonzero(self.filter[hashes >> np.uint64(48)] & inside)
+        maybe = np.flatnonzero(self.filter[hashes >> np.uint64(44)] & inside)
         lo, hi = (np.searchsorted(self.hashes, hashes[maybe], side) for side in ("left", "right"))
         maybe, lo, hi = maybe[hi > lo], lo[hi > lo], hi[hi > lo]
         place = np.repeat(maybe, hi - lo)
         owner = self.owners[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)))[:-1], hi - lo) + np.arange(len(place))]
-        pairs, counts = np.unique(doc[place] * len(self.names) + owner, return_counts=True)
+        pair = doc[place] * len(self.names) + owner
+        order = np.argsort(pair, kind="stable")
+        place = place[order]
+        pairs, at, counts = np.unique(pair[order], return_index=True, return_counts=True)
         out = []
-        for pair in pairs[counts >= self.need[pairs % len(self.names)]].tolist():
-            row, k = divmod(pair, len(self.names))
-            own = place[(doc[place] == row) & (owner == k)]
+        for x in np.flatnonzero(counts >= self.need[pairs % len(self.names)]).tolist():
+            row, k = divmod(int(pairs[x]), len(self.names))
             text = data[offsets[row] : offsets[row + 1]]
             breaks = np.flatnonzero(text == 10) + offsets[row]
             line = np.searchsorted(breaks, starts[word_at[row] : word_at[row + 1]])
-            if best := self._best(k, hashes[word_at[row] : word_at[row + 1]], line, own - word_at[row]):
-                out.append((row, self.names[k], *best))
+            own = place[at[x] : at[x] + counts[x]]
+            hits = _Hits(self.counts[k], int(self.sizes[k]), self.least, int(self.need[k]), own - word_at[row], hashes[own])
+            out += [Match(row, self.names[k], *found) for found in self._found(hits, line)]
         return out
 
-    def _best(self, k: int, hashes: np.ndarray, line: np.ndarray, hits: np.ndarray) -> tuple[float, int, int] | None:
-        """The run of lines that is most similar to template k, the first of equals. Runs begin and end where it has hits."""
-        size, template, best = int(self.sizes[k]), self.counts[k], None
-        most = int(size * (2 - self.least) / self.least + 1e-9)
-        lines = np.unique(np.concatenate((line[hits], line[hits + 1]))).tolist()
-        first = np.searchsorted(line, lines, "left").tolist()
-        after = np.searchsorted(line, lines, "right").tolist()
-        for i in range(len(lines)):
-            seen: Counter = Counter()
-            common, at = 0, first[i]
-            for j in range(i, len(lines)):
-                n = after[j] - first[i] - 1
-                if n > most:
-                    break
-                for h in hashes[at : after[j] - 1].tolist():
-                    if h in template:
-                        seen[h] += 1
-                        common += seen[h] <= template[h]
-                at = max(at, after[j] - 1)
-                if n + size and (dice := 2 * common / (n + size)) >= self.least and (best is None or dice > best[0]):
-                    best = (dice, lines[i], lines[j])
-        return best
+    def _found(self, hits: _Hits, line: np.ndarray) -> list[tuple]:
+        lines = np.unique(line[np.concatenate((hits.places, hits.places + 1))])
+        taken: list[tuple[int, int]] = []
+        whole = hits.runs(np.searchsorted(line, lines, "left"), np.searchsorted(line, lines, "right"), taken)
+        parts = hits.runs(hits.places, hits.places + 2, taken)
+        found = [(x[0], int(line[x[1]]), int(line[x[2] - 1]), *hits.words(*x[1:]), True) for x in whole]
+        found += [(x[0], int(line[x[1]]), int(line[x[2] - 1]), *hits.weight(*x), False) for x in parts]
+        return sorted(found, key=lambda x: x[4])
+
+    def scan(self, column: pa.Array) -> list[tuple[int, str, float, int, int]]:
+        """(row, license, dice, first line, last line) of all matches.
+
+        A run of words of which over half lies in a heavier match of another template is a part of that, and left out.
+        """
+        return [x[:5] for x, rivals in with_rivals(self.matches(column)) if x.whole_lines or x.license == rivals[0].license]
+
+
+def with_rivals(matches: list[Match]) -> list[tuple[Match, list[Match]]]:
+    """Each match and those, heaviest first, that share over half of the smaller one's bigrams, itself among them."""
+    out, rows = [], {}
+    for x in matches:
+        rows.setdefault(x.row, []).append(x)
+    for own in rows.values():
+        own.sort(key=lambda x: (x.first, x.last))
+        near: dict[int, list[int]] = {k: [k] for k in range(len(own))}
+        live: list[int] = []
+        for k, x in enumerate(own):
+            live = [j for j in live if own[j].last >= x.first]
+            for j in live:
+                y = own[j]
+                if 2 * (min(x.last, y.last) - x.first + 1) > min(x.last - x.first, y.last - y.first) + 1:
+                    near[k].append(j)
+                    near[j].append(k)
+            live.append(k)
+        out += [(x, sorted((own[j] for j in near[k]), key=lambda y: (-y.weight, y.license))) for k, x in enumerate(own)]
+    return out
 
 
 def _scan(index):
@@ -179,9 +274,9 @@ def _scan(index):
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """(doc_id, license, dice, first_line, last_line): each document and template that a run of its lines matches.
+    """(doc_id, license, dice, first_line, last_line): each run of lines, or of words inside them, that a template matches.
 
-    Lines count from 0. A null or empty text matches nothing, nor does a template of fewer than two words.
+    Matches of one template don't overlap. Lines count from 0. A null or empty text matches nothing, nor does a template of fewer than two words.
     Null doc_ids and repeated rows each come back; other columns are not read.
     """
     prepare(docs.sparkSession)

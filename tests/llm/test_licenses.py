@@ -63,3 +63,37 @@ def test_edges(spark, edge_docs, empty_docs):
     found = best_license(license_matches(rows)).collect()
     assert {(r.doc_id, r.license, r.dice) for r in found} == {(None, "MIT-notice", 1.0), (3, "MIT-notice", 1.0)}
     assert license_matches(rows, {"one": "word", "none": ""}).count() == 0
+
+
+def test_licenses_inside_long_lines():
+    before, after = "All source files in this project are ", " Ask the maintainers of the project about anything else."
+    texts = [
+        before + TEMPLATES["Apache-2.0-notice"],
+        "x " * 3000 + TEMPLATES["MIT"] + " and " + "y z " * 3000,
+        '{"license": "' + TEMPLATES["ISC"] + '", "name": "' + "a b " * 200 + '"}\n' + before + TEMPLATES["MIT-notice"] + after,
+        (before + TEMPLATES["MIT-notice"] + after) * 3,
+        before + TEMPLATES["Apache-2.0-header"] + after,
+    ]
+    found = [[] for _ in texts]
+    for row, name, dice, first, last in TemplateIndex(TEMPLATES, 0.8).scan(pa.array(texts, pa.large_string())):
+        found[row].append((name, dice, first, last))
+    assert found == [
+        [("Apache-2.0-notice", 1.0, 0, 0)],
+        [("MIT", 1.0, 0, 0)],
+        [("ISC", 1.0, 0, 0), ("MIT-notice", 1.0, 1, 1)],
+        [("MIT-notice", 1.0, 0, 0)] * 3,
+        [("Apache-2.0-header", found[4][0][1], 0, 0)],
+    ]
+
+
+def test_word_windows_against_all_runs():
+    """Where whole lines are too long, the best window is the best of all pairs of words."""
+    words = "released under the mit license see under the mit file released the license under".split()
+    text = " ".join(words * 2)
+    wanted = bigrams(TEMPLATES["MIT-notice"])
+    size, own = sum(wanted.values()), text.split()
+    best = max(
+        2 * sum((bigrams(" ".join(own[i:j])) & wanted).values()) / (j - i - 1 + size) for i in range(len(own)) for j in range(i + 2, len(own) + 1)
+    )
+    found = TemplateIndex({"MIT-notice": TEMPLATES["MIT-notice"]}, 0.5).matches(pa.array([text], pa.large_string()))
+    assert max(x.dice for x in found) == best == 1.0 and len({x.first for x in found}) == len(found) >= 2
