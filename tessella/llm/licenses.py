@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
 from .shared import prepare
 from .textops import MARKS, rolled_hashes, text_bytes, word_hashes, words
 
@@ -30,6 +31,7 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
     "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
@@ -78,20 +80,7 @@ TEMPLATES = {
         " OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION"
         " WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
-        " the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,"
-        " this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the"
-        " above copyright notice, this list of conditions and the following disclaimer in the documentation and/or"
-        ' other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND'
-        ' CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED'
-        " WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
-    ),
-    "Unlicense": (
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,"
-        " publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,"
-        " for any purpose, commercial or non-commercial, and by any means."
-    ),
+    **TEXTS,
 }
 
 

@@ -1,8 +1,11 @@
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
+import pytest
 
+from tessella.llm.license_texts import TEXTS
 from tessella.llm.licenses import TEMPLATES, TemplateIndex, best_license, license_matches
 
 WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
@@ -97,3 +100,39 @@ def test_word_windows_against_all_runs():
     )
     found = TemplateIndex({"MIT-notice": TEMPLATES["MIT-notice"]}, 0.5).matches(pa.array([text], pa.large_string()))
     assert max(x.dice for x in found) == best == 1.0 and len({x.first for x in found}) == len(found) >= 2
+
+
+def heaviest(texts):
+    found = [[] for _ in texts]
+    for x in TemplateIndex(TEMPLATES, 0.8).matches(pa.array(texts, pa.large_string())):
+        found[x.row].append((x.weight, x.license))
+    return [max(x, default=(0, None))[1] for x in found]
+
+
+def shapes(text):
+    """A text with a copyright line, in lines of 60, as one line for each paragraph and as one line among others."""
+    paragraphs = [" ".join(x.split()) for x in text.split("\n\n")]
+    top = "Copyright (c) 2020 Somebody"
+    return ["\n\n".join([top, *(wrapped(x, 60) for x in paragraphs)]), "\n\n".join([top, *paragraphs]), "a b " * 3000 + " ".join(text.split()) + " c d" * 3000]
+
+
+@pytest.mark.parametrize("name", sorted(TEXTS))
+def test_whole_texts(name):
+    assert heaviest(shapes(TEXTS[name])) == [name] * 3
+
+
+def test_texts_of_this_machine():
+    files = {"BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"} | {x: x for x in ("Apache-2.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0")}
+    there = {Path("/usr/share/common-licenses", k): v for k, v in files.items() if Path("/usr/share/common-licenses", k).exists()}
+    for path, name in there.items():
+        assert heaviest(shapes(path.read_text())) == [name] * 3
+    gpl_2 = TEXTS["GPL-2.0"]
+    assert heaviest([gpl_2[gpl_2.index("TERMS AND CONDITIONS") : gpl_2.index("END OF TERMS")]]) == ["GPL-2.0"]
+
+
+def test_versions_of_headers():
+    index = TemplateIndex(TEMPLATES, 0.8)
+    for name in ("GPL-2.0-header", "GPL-3.0-header", "LGPL-2.1-header", "LGPL-3.0-header", "AGPL-3.0-header"):
+        found = index.scan(pa.array([wrapped(TEMPLATES[name], 60)], pa.large_string()))
+        best = max(found, key=lambda x: x[2])
+        assert best[1:3] == (name, 1.0)
