@@ -225,6 +225,22 @@ class TemplateIndex:
         """
         return [x[:5] for x, rivals in with_rivals(self.matches(column)) if x.whole_lines or x.license == rivals[0].license]
 
+    def resolved(self, column: pa.Array) -> list[tuple[int, str, float, int, int, int]]:
+        """(row, license, dice, first line, last line, templates that match there) of each place, the heaviest template's.
+
+        A match is left out only where a heavier one that stays has over half of the smaller one's bigrams.
+        """
+        stay: dict[Match, bool] = {}
+        both = with_rivals(self.matches(column))
+        for x, rivals in sorted(both, key=lambda z: (-z[0].weight, z[0].license)):
+            stay[x] = not any(stay.get(y) for y in rivals if y is not x)
+        return [(*x[:5], len({y.license for y in rivals})) for x, rivals in both if stay[x]]
+
+
+def _shared(x: Match, y: Match) -> bool:
+    """Whether over half of the smaller one's bigrams are the other's too."""
+    return 2 * (min(x.last, y.last) - max(x.first, y.first) + 1) > min(x.last - x.first, y.last - y.first) + 1
+
 
 def with_rivals(matches: list[Match]) -> list[tuple[Match, list[Match]]]:
     """Each match and those, heaviest first, that share over half of the smaller one's bigrams, itself among them."""
@@ -238,8 +254,7 @@ def with_rivals(matches: list[Match]) -> list[tuple[Match, list[Match]]]:
         for k, x in enumerate(own):
             live = [j for j in live if own[j].last >= x.first]
             for j in live:
-                y = own[j]
-                if 2 * (min(x.last, y.last) - x.first + 1) > min(x.last - x.first, y.last - y.first) + 1:
+                if _shared(x, own[j]):
                     near[k].append(j)
                     near[j].append(k)
             live.append(k)
@@ -247,35 +262,53 @@ def with_rivals(matches: list[Match]) -> list[tuple[Match, list[Match]]]:
     return out
 
 
-def _scan(index):
+def _run(find, schema: dict[str, pa.DataType]):
     def run(batches):
         for batch in batches:
-            if found := index.value.scan(batch.column(1)):
+            if found := find(batch.column(1)):
                 ids = batch.column(0).take(pa.array([x[0] for x in found]))
                 columns = list(zip(*found, strict=True))[1:]
-                types = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                    ["doc_id", "license", "dice", "first_line", "last_line"],
-                )
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True))], ["doc_id", *schema])
 
     return run
 
 
+_MATCH = {"license": pa.string(), "dice": pa.float64(), "first_line": pa.int64(), "last_line": pa.int64()}
+_DDL = "doc_id long, license string, dice double, first_line long, last_line long"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    prepare(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _index(docs: DataFrame, templates: dict[str, str] | None, least: float):
+    return docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates, least))
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """(doc_id, license, dice, first_line, last_line): each run of lines, or of words inside them, that a template matches.
 
-    Matches of one template don't overlap. Lines count from 0. A null or empty text matches nothing, nor does a template of fewer than two words.
-    Null doc_ids and repeated rows each come back; other columns are not read.
+    Matches of one template don't overlap. Lines count from 0. A null or empty text matches nothing, nor does a template
+    of fewer than two words. Null doc_ids and repeated rows each come back; other columns are not read.
     """
-    prepare(docs.sparkSession)
-    index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates, least))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(index), "doc_id long, license string, dice double, first_line long, last_line long")
+    index = _index(docs, templates, least)
+    return _rows(docs).mapInArrow(_run(lambda column: index.value.scan(column), _MATCH), _DDL)
+
+
+def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
+    """(doc_id, license, dice, first_line, last_line, n_templates): all licenses of all documents, a row for each place.
+
+    Of templates that match the same words the heaviest counts (common bigrams times Dice, then the first by name);
+    n_templates counts them. A document has as many rows as places, and nothing is put together by doc_id: null and
+    repeated ids each come back.
+    """
+    index = _index(docs, templates, least)
+    return _rows(docs).mapInArrow(_run(lambda column: index.value.resolved(column), _MATCH | {"n_templates": pa.int64()}), f"{_DDL}, n_templates long")
 
 
 def best_license(matches: DataFrame) -> DataFrame:
-    """One row for each document: its most similar template, the first by name of equals."""
+    """One row for each doc_id: its most similar template, the first by name of equals. A summary; ``licenses`` has them all."""
     ranked = matches.groupBy("doc_id").agg(
         F.min(F.struct((-F.col("dice")).alias("d"), "license", "first_line", "last_line")).alias("x"), F.count("*").alias("n_templates")
     )

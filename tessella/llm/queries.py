@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import contaminated
 from .langid import predict_languages
-from .licenses import best_license, license_matches
+from .licenses import licenses
 from .mixing import mix
 from .mixing import oracle as mix_oracle
 from .near_dup import near_duplicates
@@ -32,7 +32,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_license(license_matches(_table(spark, sf_dir, "documents")))
+    return licenses(_table(spark, sf_dir, "documents"))
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 
 from tessella.llm.license_texts import TEXTS
-from tessella.llm.licenses import TEMPLATES, TemplateIndex, best_license, license_matches
+from tessella.llm import queries
+from tessella.llm.licenses import TEMPLATES, TemplateIndex, best_license, license_matches, licenses
 
 WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
@@ -136,3 +137,34 @@ def test_versions_of_headers():
         found = index.scan(pa.array([wrapped(TEMPLATES[name], 60)], pa.large_string()))
         best = max(found, key=lambda x: x[2])
         assert best[1:3] == (name, 1.0)
+
+
+def test_query_returns_every_license(spark, tmp_path):
+    mit, apache, gpl_2 = (TEMPLATES[x] for x in ("MIT-notice", "Apache-2.0-notice", "GPL-2.0-notice"))
+    rows = [
+        (1, f"{mit}\nwords between\n{apache}"),
+        (2, f"Dual licensed. {mit} {apache} Pick one of both of these at your own will, whichever suits you most."),
+        (3, gpl_2),
+        (None, mit),
+        (None, apache),
+        (4, mit),
+        (4, gpl_2),
+        (4, mit),
+        (5, wrapped(TEMPLATES["Apache-2.0"]) + "\n" + wrapped(TEMPLATES["MIT"])),
+        (6, f"{gpl_2}\nand parts of it:\n" + gpl_2.replace("version 2", "version 3")),
+        (7, None),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_license_scan(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.license) for r in found) == Counter(
+        [(1, "MIT-notice"), (1, "Apache-2.0-notice"), (2, "MIT-notice"), (2, "Apache-2.0-notice"), (3, "GPL-2.0-notice"), (None, "MIT-notice")]
+        + [(None, "Apache-2.0-notice"), (4, "MIT-notice"), (4, "MIT-notice"), (4, "GPL-2.0-notice"), (5, "Apache-2.0"), (5, "MIT")]
+        + [(6, "GPL-2.0-notice"), (6, "GPL-3.0-notice")]
+    )
+    here = {x.license for x in TemplateIndex(TEMPLATES, 0.8).matches(pa.array([gpl_2], pa.large_string()))}
+    assert {r.n_templates for r in found if r.doc_id == 3} == {len(here)} != {1}
+
+
+def test_edges_of_all_licenses(spark, edge_docs, empty_docs):
+    assert licenses(edge_docs).count() == licenses(empty_docs).count() == 0
+    assert licenses(edge_docs.limit(0), {"one": "word", "none": ""}).count() == 0
