@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from bisect import bisect
 
@@ -46,25 +47,38 @@ GIVEN = {
 }
 
 _GENDER = {t.casefold(): g for g, titles in TITLES.items() for t in titles}
-_TITLE = "|".join(sorted((re.escape(t) for x in TITLES.values() for t in x), key=len, reverse=True))
-_NAME = r"[^\W\d_a-zа-я][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+#: As above or in capitals.
+_TITLES = sorted({y for x in TITLES.values() for t in x for y in (t, t.upper())}, key=lambda t: (-len(t), t))
+_TITLE = "|".join(map(re.escape, _TITLES))
+_INITIALS = r"(?:[^\W\d_a-zа-я]\.-?)+"
+_NAME = rf"(?:{_INITIALS} ?){{0,3}}[^\W\d_a-zа-я][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+#: Beginnings of keys that are not hexadecimal, and what follows.
+KEYS = {
+    "AKIA": "[A-Z0-9]{16}", "ASIA": "[A-Z0-9]{16}", "ghp_": "[A-Za-z0-9]{36,255}", "gho_": "[A-Za-z0-9]{36,255}", "ghu_": "[A-Za-z0-9]{36,255}",
+    "ghs_": "[A-Za-z0-9]{36,255}", "ghr_": "[A-Za-z0-9]{36,255}", "github_pat_": "[A-Za-z0-9_]{22,255}", "glpat-": "[A-Za-z0-9_-]{20,64}",
+    "AIza": "[A-Za-z0-9_-]{35}", "xoxb-": "[A-Za-z0-9-]{10,255}", "xoxp-": "[A-Za-z0-9-]{10,255}", "sk_live_": "[A-Za-z0-9]{16,255}",
+}
+_KEY = "|".join(f"{re.escape(k)}{v}" for k, v in KEYS.items())
 #: The kinds of entities, in order of precedence where they overlap.
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]*[\w+%-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")),
+    ("key", re.compile(rf"(?<![0-9A-Za-z])(?:{_KEY})(?![0-9A-Za-z])")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:))(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])")),
     ("card", re.compile(r"(?<![\d])(?:\d[ -]?){12,18}\d(?!\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)")),
     ("phone", re.compile(r"(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)")),
+    ("phone", re.compile(r"(?<![\w.-])(?:1 )?[2-9]\d\d \d{3} \d{4}(?!\d| \d|[.-]\d)")),
     ("name", re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.? +(?P<name>{_NAME}(?: {_NAME}){{0,2}})")),
 ]
 
 
 _DIGIT = re.compile("[0-9]")
 #: Quick test for texts that may hold a title; it starts at capitals only, but for the Cyrillic ones.
-_ANY_TITLE = re.compile(rf"(?:[A-ZÀ-Ý](?<!\w\w)|г)(?:{'|'.join(sorted({re.escape(t[1:]) for x in TITLES.values() for t in x}))})\.? +[^\W\d_a-zа-я]")
+_ANY_TITLE = re.compile(rf"(?:[A-ZÀ-Ý](?<!\w\w)|[гГ])(?:{'|'.join(sorted({re.escape(t[1:]) for t in _TITLES}))})\.? +[^\W\d_a-zа-я]")
 
 
 def _around_at(pattern: re.Pattern, text: str):
@@ -80,6 +94,41 @@ def _around_at(pattern: re.Pattern, text: str):
         done, at = end, text.find("@", end)
 
 
+_SIXTEEN = re.compile(r"(?:\d[ -]?){15}\d(?!\d)")
+
+
+def _valid_parts(pattern: re.Pattern, text: str, least: int, valid, at: int):
+    """(start, end, plain form) of what is valid: matches, or else their first groups of characters, ``least`` or more.
+
+    Of parts, one of 16 characters comes first, as most card numbers have, then the longest; a card number of another
+    length gives way to a valid 16-digit number that begins inside it. Where no part is valid, the next group may begin one.
+    """
+    while m := pattern.search(text, at):
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"[^ -]+", m[0])]
+        spans = [(m.start(), b, re.sub("[ -]", "", text[m.start() : b])) for _, b in reversed(groups)]
+        parts = sorted((x for x in spans[1:] if len(x[2]) >= least), key=lambda x: len(x[2]) != 16)
+        found = next((x for x in spans[:1] + parts if valid(x[2])), None)
+        if valid is luhn and found and found[1] != m.end() and len(found[2]) != 16:
+            inside = (_SIXTEEN.match(text, a) for a, _ in groups[1:] if a < found[1])
+            found = next(((*x.span(), y) for x in inside if x and luhn(y := re.sub("[ -]", "", x[0]))), found)
+        if found:
+            yield found
+        at = found[1] if found else groups[1][0] if len(groups) > 1 else m.end()
+
+
+def _iban(plain: str) -> bool:
+    return bool(re.match(r"[A-Z]{2}\d\d", plain)) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _ipv6(text: str) -> str | None:
+    """The shortest form of an address with a digit, other than the loopback."""
+    try:
+        found = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return str(found) if _DIGIT.search(text) and not found.is_loopback else None
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -88,7 +137,8 @@ def luhn(digits: str) -> bool:
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of all entities, in order and without overlaps.
 
-    A card number needs a valid check digit; an IBAN needs a valid checksum. A name is what follows a
+    A card number needs a valid check digit; an IBAN needs a valid checksum; where what looks like one is not
+    valid, groups of characters before or after are left out. A name is what follows a
     title, as gender, colon and name; other mentions of a titled person's whole name or last name count too.
     """
     found: list[tuple[int, int, str, str]] = []
@@ -105,6 +155,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for kind, pattern in PATTERNS:
         if kind == "email":
             matches = _around_at(pattern, text)
+        elif kind == "key":
+            matches = pattern.finditer(text) if any(x in text for x in KEYS) else ()
+        elif kind in ("card", "iban"):
+            at = max(0, digits.start() - 128) if digits else len(text)
+            for start, end, plain in _valid_parts(pattern, text, *((13, luhn) if kind == "card" else (15, _iban)), at):
+                add(start, end, kind, plain)
+            continue
         elif kind == "name":
             matches = pattern.finditer(text) if _ANY_TITLE.search(text) else ()
         else:
@@ -114,13 +171,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 gender = _GENDER[m["title"].casefold()]
                 people.setdefault(m["name"], f"{gender}:{m['name']}")
                 add(*m.span("name"), kind, people[m["name"]])
-            elif kind == "card":
-                if luhn(number := re.sub(r"\D", "", m[0])):
-                    add(*m.span(), kind, number)
-            elif kind == "iban":
-                plain = m[0].replace(" ", "")
-                if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
-                    add(*m.span(), kind, plain)
+            elif kind == "ipv6":
+                if normal := _ipv6(m[0]):
+                    add(*m.span(), kind, normal)
             else:
                 add(*m.span(), kind, m[0].lower() if kind in ("email", "secret") else m[0])
     mentions: dict[str, str] = {}
@@ -182,6 +235,11 @@ class Surrogates:
             a = [int(x) for x in normal.split(".")]
             value = self.permute(a[0] << 24 | a[1] << 16 | a[2] << 8 | a[3], 1 << 32, tweak)
             return ".".join(str(value >> k & 255) for k in (24, 16, 8, 0))
+        if kind == "ipv6":
+            return str(ipaddress.IPv6Address(self.permute(int(ipaddress.IPv6Address(normal)), 1 << 128, tweak)))
+        if kind == "key":
+            start = next(x for x in KEYS if normal.startswith(x))
+            return start + self.format_preserving(normal[len(start) :], f"{tweak}|{start}")
         if kind == "card":
             body = normal[0] + self.format_preserving(normal[1:-1], tweak)
             return next(body + str(d) for d in range(10) if luhn(body + str(d)))
@@ -204,7 +262,10 @@ class Surrogates:
             if last or len(parts) == 1:
                 return family
             names = GIVEN[script, gender]
-            given = [names[self._number(f"given|{attempt}|{k}|{x}", len(names))] for k, x in enumerate(parts[:-1])]
+            given = [
+                self.format_preserving(x, f"initial|{attempt}|{k}") if x.endswith(".") else names[self._number(f"given|{attempt}|{k}|{x}", len(names))]
+                for k, x in enumerate(parts[:-1])
+            ]
             return " ".join([*given, family])
         return self.format_preserving(normal, tweak)
 
