@@ -31,8 +31,8 @@ from .graph import connected_components
 from .shared import BROADCAST_IDS, materialize, prepare, workdir
 from .textops import shingle_hashes, text_bytes, word_hashes, words
 
-#: Symbols of a signature; bits of a symbol; most differing bits of the sketches of a candidate pair.
-SYMBOLS, BITS, SKETCH_RADIUS = 64, 8, 20
+#: Symbols of a signature; bits of a symbol.
+SYMBOLS, BITS = 64, 8
 #: Bits of the parities that bound how far two sets differ.
 PARITY_BITS = 2048
 #: Nodes of a bucket that one task compares with one another or with so many others.
@@ -59,7 +59,10 @@ def _multipliers(symbols: int, seed: int) -> np.ndarray:
 
 
 def _signatures(shingles: np.ndarray, at: np.ndarray, symbols: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (n x symbols, uint8) and 1-bit sketches of the sets that have a shingle."""
+    """Signatures (n x symbols, uint8) of the sets that have a shingle, and sketches: the highest bits of 64 symbols.
+
+    So two sketches differ in as many bits as the signatures do in symbols, or fewer.
+    """
     mult, add = _multipliers(symbols, seed)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     full = np.flatnonzero(np.diff(at) > 0)
@@ -69,7 +72,7 @@ def _signatures(shingles: np.ndarray, at: np.ndarray, symbols: int, seed: int) -
     out = (out ^ (out >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     out = (out ^ (out >> np.uint32(13))) * np.uint32(0xC2B2AE35)
     out ^= out >> np.uint32(16)
-    sketch = np.packbits((out >> np.uint32(16)).astype(np.uint8) & 1, axis=1)
+    sketch = np.packbits((out >> np.uint32(7)).astype(np.uint8) & 1, axis=1)
     return (out & np.uint32(255)).astype(np.uint8), sketch[:, :8].copy().view(np.int64).ravel()
 
 
@@ -187,7 +190,7 @@ def _across(radius: int, percent: int):
         for k in left:
             others = right[(component[right] != component[k]) & (node[right] != node[k])]
             others = others[100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k])]
-            others = others[np.bitwise_count(sketch[others] ^ sketch[k]) <= SKETCH_RADIUS]
+            others = others[np.bitwise_count(sketch[others] ^ sketch[k]) <= radius]
             others = others[(signature[others] != signature[k]).sum(axis=1) <= radius]
             most = (100 - percent) * (n[others] + n[k]) // (100 + percent)  # shingles that a link may differ in
             others = others[np.bitwise_count(parity[others] ^ parity[k]).sum(axis=1) <= most]
@@ -225,7 +228,7 @@ def near_duplicates(
     Null or wordless text: no shingles, linked with nothing. Fewer words than a shingle: the whole
     sequence is one shingle. Null doc_id: the row stays, its component_id is null and kept is true.
     Rows that repeat a doc_id each come back; if their texts differ, all of them propose candidates and
-    the set of largest bytes confirms. Columns other than doc_id and text are not read. An empty table
+    any of them confirms. Columns other than doc_id and text are not read. An empty table
     gives no rows.
     """
     spark = docs.sparkSession
@@ -268,7 +271,7 @@ def near_duplicates(
     candidates = (
         shared.filter("node <> low.node")
         .filter(f"100 * least(n, low.n) >= {percent} * greatest(n, low.n)")
-        .filter(f"bit_count(sketch ^ low.sketch) <= {SKETCH_RADIUS}")
+        .filter(f"bit_count(sketch ^ low.sketch) <= {radius}")
         .select(F.col("node").alias("a"), F.col("low.node").alias("b"))
         .distinct()
     )
@@ -295,7 +298,7 @@ def near_duplicates(
             "n",
             "sketch",
         )
-        .join(nodes.select("node", "signature", "parity").dropDuplicates(["node"]), "node")
+        .join(nodes.select("node", "n", "sketch", "signature", "parity"), ["node", "n", "sketch"])
         .select("key", "i", "j", "side", "node", "component", "n", "sketch", "signature", "parity")
     )
     across = (
@@ -327,7 +330,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, per
     small = wanted.count() <= BROADCAST_IDS
     named = texts.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if small else wanted, "node", "left_semi")
     sets = materialize(
-        named.mapInArrow(_set_rows(n), "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles")),
+        named.mapInArrow(_set_rows(n), "node long, shingles binary").filter("length(shingles) > 0").distinct(),
         f"{folder}/sets",
     )
     joined = (
@@ -335,4 +338,4 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, per
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
-    return materialize(joined.mapInArrow(_confirm(percent), "a long, b long"), f"{folder}/links")
+    return materialize(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{folder}/links")

@@ -116,3 +116,20 @@ def test_components_of_a_chain(spark, tmp_path):
     rows = [(k, k + 1) for k in range(40)] + [(100, 101), (None, 3)]
     found = connected_components(spark.createDataFrame(rows, "a long, b long"), str(tmp_path)).collect()
     assert {r.node: r.component for r in found} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def test_low_thresholds_lose_no_pair(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        words = [f"w{k}x{rng.randrange(10**9)}" for _ in range(53)]
+        rows += [(2 * k, " ".join(words[:40])), (2 * k + 1, " ".join(words[13:]))]  # 27 of 53 in common
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words_per_shingle=1, percent=50).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k - k % 2 for k in range(800)}
+
+
+def test_each_text_of_an_id_is_linked(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcde"]
+    rows = [(1, x) for x in texts] + [(k + 2, x + " more") for k, x in enumerate(texts)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words_per_shingle=3, percent=85).collect()
+    assert len(found) == 10 and {r.component_id for r in found} == {1}
