@@ -162,16 +162,18 @@ def learn(docs: DataFrame, among: Column) -> Model:
     """A model of the rows of docs(doc_id, text, lang) for which ``among`` is true.
 
     Of each language at most SAMPLE_DOCS documents, the first by hash, are learnt, up to SAMPLE_SYMBOLS
-    symbols; fewer if all tables would pass TABLE_BYTES. The sample alone comes to the driver.
+    symbols; fewer if all tables would pass TABLE_BYTES. Of a document up to SAMPLE_CHARS characters from
+    its first letter on are learnt. The sample alone comes to the driver.
     """
     rows = docs.select(
         F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), among.alias("among")
-    ).filter("among and lang is not null and char_length(text) <= " + str(SAMPLE_CHARS))
+    ).filter("among and lang is not null and text is not null")
     slim = rows.select("id", "lang", F.xxhash64("text").alias("mark"))
     order = W.Window.partitionBy("lang").orderBy(F.xxhash64("id"), "mark")
     drawn = slim.withColumn("k", F.row_number().over(order)).filter(f"k <= {SAMPLE_DOCS}")
     chosen = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(drawn), ["id", "lang", "mark"])
-    picked = chosen.select("lang", "k", "text").dropDuplicates(["lang", "k"])
+    excerpt = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_CHARS).alias("text")
+    picked = chosen.select("lang", "k", excerpt).dropDuplicates(["lang", "k"])
     texts: dict[str, list] = {}
     for lang, _, text in sorted((r.lang, r.k, r.text) for r in picked.toLocalIterator()):
         texts.setdefault(lang, []).append(fold(text))

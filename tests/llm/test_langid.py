@@ -73,3 +73,10 @@ def test_single_language_and_ties(spark):
     only = predict_languages(rows.filter("lang = 'b'"), F.lit(True)).collect()
     assert (only[0].lang_pred, only[0].score) == ("b", 1.0)
     assert only[0].phrases_per_symbol == pytest.approx(1 / 7)
+
+
+def test_languages_of_long_documents_only_are_learnt(spark):
+    rows = [(k, "the quick brown fox runs over the hills " * 30, "en") for k in range(5)]
+    rows += [(k, "12 34 " * 4_000 + "быстрая рыжая лиса бежит через холмы " * 600, "ru") for k in range(5, 10)]
+    found = predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {k: lang for k, _, lang in rows}
