@@ -9,11 +9,14 @@ therefore gives one key for each of its symbols, with that symbol left out: ever
 radius meets in a key, and no other means of finding candidates is needed.
 
 Candidates are confirmed on full shingle sets. Exact copies of a set are one node from the start.
-Links go to the smallest node of a key's bucket first; a bucket whose nodes are then in one component
-is done, and only buckets that still hold several components are compared pair by pair, in blocks of
-bounded size, across components; of those pairs only the few leave their task that the parities of the
-sets, which bound their difference, allow to be links. So no bucket is expanded into all its pairs, and no link between
-different components is lost.
+Links go to the smallest node of a key's bucket first (of each part of a large bucket, and from there to
+the smallest of all); a bucket whose nodes are then in one component is done. Only buckets that still hold
+several components are compared across components, in blocks of bounded size: the other nodes with those
+of the bucket's largest component and with one another, never that component with itself. Of those pairs
+only the few leave their task that the parities of the sets, which bound their difference, allow to be
+links. So no bucket is expanded into all its pairs, and no link between different components is lost.
+
+A key, text or component that holds a large share of all rows is dealt to several tasks everywhere.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .graph import connected_components
-from .shared import BROADCAST_IDS, materialize, prepare, workdir
+from .shared import BROADCAST_IDS, HOT_ROWS, discard, join_hot, materialize, prepare, workdir
 from .textops import shingle_hashes, text_bytes, word_hashes, words
 
 #: Symbols of a signature; bits of a symbol.
@@ -37,6 +40,8 @@ SYMBOLS, BITS = 64, 8
 PARITY_BITS = 2048
 #: Nodes of a bucket that one task compares with one another or with so many others.
 BLOCK = 4096
+#: One node of so many is looked at to find large buckets, which are then dealt to several tasks.
+PROBE = 16
 
 
 def radius_for(similarity: float, miss: float = 2e-5, symbols: int = SYMBOLS) -> int:
@@ -175,15 +180,15 @@ def _confirm(percent: int):
 
 
 def _across(radius: int, percent: int):
-    """Pairs of different components within the radius, of each run of equal (key, i, j)."""
+    """Pairs of different components within the radius, of each run of equal (key, kind, i, j)."""
 
     def close(rows: list) -> list:
-        side = np.array([x[3] for x in rows], bool)
-        node = np.array([x[4] for x in rows])
-        component, n = np.array([x[5] for x in rows]), np.array([x[6] for x in rows])
-        sketch = np.array([x[7] for x in rows], np.int64)
-        signature = np.frombuffer(b"".join(x[8] for x in rows), np.uint8).reshape(len(rows), -1)
-        parity = np.frombuffer(b"".join(x[9] for x in rows), np.uint64).reshape(len(rows), -1)
+        side = np.array([x[4] for x in rows], bool)
+        node = np.array([x[5] for x in rows])
+        component, n = np.array([x[6] for x in rows]), np.array([x[7] for x in rows])
+        sketch = np.array([x[8] for x in rows], np.int64)
+        signature = np.frombuffer(b"".join(x[9] for x in rows), np.uint8).reshape(len(rows), -1)
+        parity = np.frombuffer(b"".join(x[10] for x in rows), np.uint64).reshape(len(rows), -1)
         left = np.flatnonzero(~side)
         right = np.flatnonzero(side) if side.any() else left
         found = []
@@ -201,10 +206,10 @@ def _across(radius: int, percent: int):
         held, key = [], None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
+                if row[:4] != key:
                     if held and (pairs := close(held)):
                         yield _pairs(pairs)
-                    held, key = [], row[:3]
+                    held, key = [], row[:4]
                 held.append(row)
         if held and (pairs := close(held)):
             yield _pairs(pairs)
@@ -217,6 +222,89 @@ def _pairs(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["a", "b"])
 
 
+def _same_id(prints: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) between a doc_id of several shingle sets and the nodes of these."""
+    own = prints.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
+    mark = F.xxhash64("digest")
+    several = own.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("doc_id")
+    several = materialize(several, f"{folder}/several")
+    few = several.count() <= BROADCAST_IDS
+    rows = own.join(F.broadcast(several) if few else several, "doc_id").distinct().join(nodes.select("digest", "node"), "digest")
+    return materialize(rows.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), f"{folder}/same")
+
+
+def _buckets(nodes: DataFrame, borders: list[int], folder: str) -> DataFrame:
+    """(key, parts, node, n, sketch, low) of all keys of all nodes; low is the smallest node of a part of a bucket.
+
+    Buckets of over HOT_ROWS nodes, as one node of PROBE shows them, have several parts by a hash of the
+    node. Nodes that are alone in a bucket are left out.
+    """
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        found = rows.select("node", "n", "sketch", "signature").mapInArrow(_keys(borders), "node long, n long, sketch long, keys array<long>")
+        return found.select(F.explode("keys").alias("key"), "node", "n", "sketch")
+
+    probe = keyed(nodes.filter(F.pmod(F.xxhash64("node"), F.lit(PROBE)) == 0)).groupBy("key").agg(F.count("*").alias("k"))
+    hot = probe.filter(F.col("k") * PROBE > HOT_ROWS).select("key", F.ceil(F.col("k") * PROBE / HOT_ROWS).cast("int").alias("parts"))
+    hot = materialize(hot, f"{folder}/hot")
+    rows, n_hot = keyed(nodes), hot.count()
+    if n_hot:
+        rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        rows = rows.withColumn("parts", F.lit(1))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
+    part = W.Window.partitionBy("key", "part")
+    rows = rows.select("*", F.min(F.struct("node", "n", "sketch")).over(part).alias("low"), F.count("*").over(part).alias("size"))
+    return materialize(rows.filter("size > 1 or parts > 1").select("key", "parts", "node", "n", "sketch", "low"), f"{folder}/shared")
+
+
+def _mixed(placed: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
+    """Rows of the buckets that hold several components, repeated for each block of rows they are compared with.
+
+    kind 0: a bucket of up to BLOCK nodes, compared with itself. Of larger ones, 1: a block of the largest
+    component with one of the others; 2: two blocks of the others.
+    """
+    keys = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.count("*").alias("size"))
+    keys = materialize(keys.filter("lowest <> highest").select("key", "size"), f"{folder}/mixed-keys")
+    if keys.count() <= BROADCAST_IDS:
+        rows = placed.join(F.broadcast(keys), "key")
+    else:
+        rows = join_hot(placed, keys, "key", F.col("node"), f"{folder}/hot-mixed")
+    rows = materialize(rows, f"{folder}/mixed")
+    large = rows.filter(F.col("size") > BLOCK).groupBy("key", "component").agg(F.count("*").alias("k"))
+    main = large.groupBy("key").agg(F.max(F.struct("k", "component")).alias("x")).select("key", F.col("x.component").alias("main"), F.col("x.k").alias("k"))
+    main = materialize(main, f"{folder}/main")
+    rows = rows.join(F.broadcast(main) if main.count() <= BROADCAST_IDS else main, "key", "left")
+    blocks = F.ceil(F.when(F.col("component") == F.col("main"), F.col("k")).otherwise(F.col("size") - F.col("k")) / BLOCK)
+    rows = rows.withColumns({"of_main": F.ceil(F.col("k") / BLOCK).cast("int"), "of_rest": F.ceil((F.col("size") - F.col("k")) / BLOCK).cast("int")})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce(blocks, F.lit(1))).cast("int"))
+
+    def task(kind: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    own, zero, no, yes = F.col("own"), F.lit(0), F.lit(False), F.lit(True)
+
+    def every(n: str, body) -> Column:
+        return F.transform(F.sequence(zero, F.col(n) - 1), body)
+
+    tasks = (
+        F.when(F.col("main").isNull(), F.array(task(0, zero, zero, no)))
+        .when(F.col("component") == F.col("main"), every("of_rest", lambda j: task(1, own, j, no)))
+        .otherwise(
+            F.concat(
+                every("of_main", lambda i: task(1, i, own, yes)),
+                every("of_rest", lambda j: task(2, F.least(own, j), F.greatest(own, j), own > j)),
+            )
+        )
+    )
+    full = rows.select("key", "node", "n", "sketch", "component", tasks.alias("tasks")).join(
+        nodes.select("node", "n", "sketch", "signature", "parity"), ["node", "n", "sketch"]
+    )
+    return full.select("*", F.explode("tasks").alias("t")).select(
+        "key", "t.kind", "t.i", "t.j", "t.side", "node", "component", "n", "sketch", "signature", "parity"
+    )
+
+
 def near_duplicates(
     docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, seed: int = 1, symbols: int = SYMBOLS
 ) -> DataFrame:
@@ -227,9 +315,8 @@ def near_duplicates(
 
     Null or wordless text: no shingles, linked with nothing. Fewer words than a shingle: the whole
     sequence is one shingle. Null doc_id: the row stays, its component_id is null and kept is true.
-    Rows that repeat a doc_id each come back; if their texts differ, all of them propose candidates and
-    any of them confirms. Columns other than doc_id and text are not read. An empty table
-    gives no rows.
+    Rows that repeat a doc_id each come back; if their texts differ, they are one document, linked by any
+    of them. Columns other than doc_id and text are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -251,70 +338,44 @@ def near_duplicates(
         ),
         f"{work}/nodes",
     )
+    same = _same_id(prints, nodes, work)
     radius = radius_for(percent / 100, symbols=symbols)
-    key_rows = (
-        nodes.select("node", "n", "sketch", "signature")
-        .mapInArrow(_keys(chunk_borders(radius, symbols)), "node long, n long, sketch long, keys array<long>")
-        .select(F.explode("keys").alias("key"), "node", "n", "sketch")
-    )
-    bucket = W.Window.partitionBy("key")
-    shared = materialize(
-        key_rows.select(
-            "*",
-            F.min(F.struct("node", "n", "sketch")).over(bucket).alias("low"),
-            F.count("*").over(bucket).alias("size"),
-        )
-        .filter("size > 1")
-        .select("key", "node", "n", "sketch", "low", "size"),
-        f"{work}/shared",
-    )
+    shared = _buckets(nodes, chunk_borders(radius, symbols), work)
+    inside = shared.filter("node <> low.node").select("node", "n", "sketch", "low")
+    ends = shared.filter("parts > 1 and node = low.node")
+    lowest = ends.groupBy("key").agg(F.min("low").alias("low"))
+    between = ends.drop("low").join(lowest, "key").filter("node <> low.node").select("node", "n", "sketch", "low")
     candidates = (
-        shared.filter("node <> low.node")
+        inside.union(between)
         .filter(f"100 * least(n, low.n) >= {percent} * greatest(n, low.n)")
         .filter(f"bit_count(sketch ^ low.sketch) <= {radius}")
         .select(F.col("node").alias("a"), F.col("low.node").alias("b"))
         .distinct()
     )
     firm = _confirmed(candidates, texts, nodes, words_per_shingle, percent, f"{work}/first")
-    first = connected_components(firm, f"{work}/first")
-    placed = shared.join(first, "node", "left").select(
-        "key", "node", "n", "sketch", "size", F.coalesce("component", "node").alias("component")
-    )
-    mixed = (
-        placed.select(
-            "*", F.min("component").over(bucket).alias("lowest"), F.max("component").over(bucket).alias("highest")
-        )
-        .filter("lowest <> highest")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "key",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            (F.col("own") > F.col("other")).alias("side"),
-            "node",
-            "component",
-            "n",
-            "sketch",
-        )
-        .join(nodes.select("node", "n", "sketch", "signature", "parity"), ["node", "n", "sketch"])
-        .select("key", "i", "j", "side", "node", "component", "n", "sketch", "signature", "parity")
-    )
+    first = connected_components(firm.union(same), f"{work}/first")
+    placed = shared.join(first, "node", "left").select("key", "node", "n", "sketch", F.coalesce("component", "node").alias("component"))
     across = (
-        mixed.repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        _mixed(materialize(placed, f"{work}/placed"), nodes, work)
+        .repartition("key", "kind", "i", "j")
+        .sortWithinPartitions("key", "kind", "i", "j")
         .mapInArrow(_across(radius, percent), "a long, b long")
         .distinct()
     )
     more = _confirmed(across, texts, nodes, words_per_shingle, percent, f"{work}/second")
-    component = connected_components(firm.union(more), f"{work}/second")
-    placed_rows = prints.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left")
-    return placed_rows.join(component, "node", "left").select(
+    component = connected_components(firm.union(same).union(more), f"{work}/second")
+    own = nodes.select("digest", "node").join(component, "node", "left")
+    own = materialize(own.select("digest", F.coalesce("component", "node").alias("component_id")), f"{work}/classes")
+    slim = prints.select("doc_id", "n_shingles", "digest")
+    rows = join_hot(slim.filter("digest is not null"), own, "digest", F.col("doc_id"), f"{work}/hot-rows", "left")
+    rows = rows.unionByName(slim.filter("digest is null").withColumn("component_id", F.lit(None).cast("long")))
+    discard(spark, *(f"{work}/{x}" for x in ("shared", "placed", "mixed", "mixed-keys", "main", "nodes", "same", "first", "second")))
+    found = F.coalesce("component_id", "doc_id")
+    return rows.select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "node", "doc_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), found).alias("component_id"),
+        F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"),
     )
 
 
@@ -333,9 +394,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, per
         named.mapInArrow(_set_rows(n), "node long, shingles binary").filter("length(shingles) > 0").distinct(),
         f"{folder}/sets",
     )
+    ends = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     joined = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        join_hot(pairs, ends, "b", F.col("a"), f"{folder}/hot")
+        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .select("a", "b", "x", "y")
     )
     return materialize(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{folder}/links")

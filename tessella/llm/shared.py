@@ -10,7 +10,8 @@ from __future__ import annotations
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -18,24 +19,77 @@ from ..session import ship
 LOCAL_FALLBACK = "file:///tmp/checkpoints/tessella"
 #: Ids broadcast at most.
 BROADCAST_IDS = 2_000_000
-#: Arrow batches sent to Python workers stay under both bounds.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Rows of one key that one task of a join takes.
+HOT_ROWS = 20_000
+#: Tasks of a stage at most, where their number follows the input.
+MOST_TASKS = 20_000
+#: Arrow batches sent to Python workers stay under both bounds, unless the session sets its own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(16 << 20))}
+
+_folders: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    """The folder that the cluster names; without one, a local folder if all executors are in this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or LOCAL_FALLBACK).rstrip("/")
 
 
 def workdir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; ``discard`` removes it."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def folders(spark: SparkSession) -> list[str]:
+    """Work folders of this application that haven't been discarded."""
+    return list(_folders.get(spark.sparkContext.applicationId, ()))
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes work folders, or parts of them, that no result still reads."""
+    known = _folders.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in known:
+            known.remove(path)
 
 
 def prepare(spark: SparkSession) -> None:
-    """For operators with Python workers: sends the package, and keeps Arrow batches small where texts are long."""
+    """For operators with Python workers: sends the package, and keeps Arrow batches small where texts are long.
+
+    Batch sizes that the session has set itself stay.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for key, (default, small) in BATCHES.items():
+        if str(spark.conf.get(key, default)).lower() in (default, "64mb"):
+            spark.conf.set(key, small)
+
+
+def tasks_for(amount: int, each: int) -> int:
+    """Tasks for an amount of work, at ``each`` a task, or more where that would make too many of them."""
+    return max(1, min(-(-amount // each), MOST_TASKS))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: Column, folder: str, how: str = "inner") -> DataFrame:
+    """left joined with right on key, where one key may have any share of left's rows and right has few of each.
+
+    A key of more than HOT_ROWS rows of left is dealt to several tasks by a hash of ``spread``, and its
+    rows of right are repeated for each of them. left is counted first and so should be a written table.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    hot = materialize(counts.select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_parts")), folder)
+    n = hot.count()
+    if not n:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot) if n <= BROADCAST_IDS else hot
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int"))
+    copies = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_parts").join(copies.drop("_parts"), [key, "_part"], how).drop("_part")
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

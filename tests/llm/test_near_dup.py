@@ -133,3 +133,64 @@ def test_each_text_of_an_id_is_linked(spark):
     rows = [(1, x) for x in texts] + [(k + 2, x + " more") for k, x in enumerate(texts)]
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words_per_shingle=3, percent=85).collect()
     assert len(found) == 10 and {r.component_id for r in found} == {1}
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 85])
+def test_recall_is_one_with_repeated_ids(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for k in range(120):
+        size, share = rng.randint(30, 90), percent / 100
+        common = [f"c{k}x{j}" for j in range(size)]
+        own = max(0, int(size * (1 - share) / (2 * share)) - rng.randint(0, 1))  # about at the threshold
+        rows += [(3 * k, " ".join(common + [f"a{k}x{j}" for j in range(own)])), (3 * k + 1, " ".join(common + [f"b{k}x{j}" for j in range(own)]))]
+        if k % 3 == 0:
+            rows.append((3 * k, " ".join(f"z{k // 6}x{j}" for j in range(40))))  # another text of an id, which others have too
+    component, _ = brute(rows, 1, percent)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()
+    assert len(found) == len(rows) and {r.doc_id: r.component_id for r in found} == component
+    assert len(set(component.values())) < 2 * 120
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_large_buckets_components_and_copies_in_parts(spark, monkeypatch, block):
+    from tessella.llm import near_dup, shared
+
+    for module in (near_dup, shared):
+        monkeypatch.setattr(module, "HOT_ROWS", 6)
+    monkeypatch.setattr(near_dup, "PROBE", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(100)]
+    rows = [(k, " ".join(common + [f"d{k % 50}_{j}" for j in range(rng.randint(5, 40))])) for k in range(80)]
+    rows += [(k, " ".join(common)) for k in range(100, 130)] + [(k, None) for k in range(130, 150)] + [(None, " ".join(common))] * 8
+    component, _ = brute([x for x in rows if x[0] is not None], 3, 85)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == component
+
+
+def test_join_with_frequent_keys(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessella.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(k % 3 if k < 200 else 100 + k, k) for k in range(220)] + [(None, 1)], "key long, x long")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "bb"), (205, "c"), (None, "n")], "key long, y string")
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, left.join(right, "key", how).collect()), key=str)
+        assert sorted(map(tuple, shared.join_hot(left, right, "key", F.col("x"), f"{tmp_path}/{how}", how).collect()), key=str) == plain
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from tessella.llm.shared import shared_dir
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("spark://x", "hdfs://a/b/")) == "hdfs://a/b" and shared_dir(session("local[4]", None)).startswith("file:")
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://x", None))
