@@ -31,20 +31,25 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more; windows of one text are told apart by 64-bit hashes.
+    """Words in 3-word windows that occur twice or more.
 
-    Where all hashes differ, none repeats. Elsewhere they are sorted with their places, and those equal to
-    a neighbour repeat. The places that they cover are then counted in order, each window adding what the
+    Where the hashes of all windows differ, none repeats. Elsewhere they are sorted with their places; the
+    windows whose hash a neighbour has, which are few, are then sorted by their words, and those whose words
+    a neighbour has repeat. The places that they cover are counted in order, each window adding what the
     one before it has not covered.
     """
 
-    def covered(ordered: Column) -> Column:
-        twice = F.filter(
-            ordered,
-            lambda x, i: (F.get(ordered, i - 1)["h"] == x["h"]) | (F.get(ordered, i + 1)["h"] == x["h"]),
+    def among_neighbours(ordered: Column, field: str) -> Column:
+        return F.filter(
+            ordered, lambda x, i: (F.get(ordered, i - 1)[field] == x[field]) | (F.get(ordered, i + 1)[field] == x[field])
         )
+
+    def by_words(twice: Column) -> Column:
+        return F.sort_array(F.transform(twice, lambda x: F.struct(F.slice(words, x["i"] + 1, F.lit(3)).alias("w"), x["i"].alias("i"))))
+
+    def covered(ordered: Column) -> Column:
         return F.aggregate(
-            F.sort_array(F.transform(twice, lambda x: x["i"])),
+            F.sort_array(F.transform(among_neighbours(ordered, "w"), lambda x: x["i"])),
             F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
             lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")),
             lambda acc: acc["n"],
@@ -52,7 +57,8 @@ def _repeat_words(words: Column) -> Column:
 
     def counted(hashes: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_let(placed, covered))
+        exact = _let(_let(placed, lambda x: by_words(among_neighbours(x, "h"))), covered)
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(exact)
 
     starts = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
     return _let(F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), counted)
@@ -116,7 +122,9 @@ def quality_rules(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, the base columns, n_ngrams, log_ratio, kept) of every row of docs(doc_id, text, ...).
 
     A null or empty text has no words: its counts are 0, base_failed is true, log_ratio is null and kept
-    false. Null doc_ids and repeated rows each come back. Other columns are not read.
+    false. Null doc_ids and repeated rows each come back, and count as often in the multinomials; equal
+    texts have equal results. Very long texts are taken whole, as arrays of their words. Other columns are
+    not read; an empty table gives no rows.
     """
     counted = base_counts(docs)
     ratios = log_ratios(counted)

@@ -64,6 +64,16 @@ def test_odd_texts(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(TEXTS[r.doc_id])
 
 
+def test_windows_of_equal_hashes_are_compared(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    true_hash = F.xxhash64
+    monkeypatch.setattr(rules.F, "xxhash64", lambda *c: true_hash(*c) % 3 if len(c) == 3 else true_hash(*c))
+    frame = spark.createDataFrame(list(enumerate(TEXTS + ["a b c d e f g h i j", "a b c x a b d y a b c z b c x"])), "doc_id long, text string")
+    for r in rules.base_counts(frame).collect():
+        assert r.n_repeat_words == repeated(r.words)
+
+
 def test_rules_edges(edge_docs, empty_docs):
     found = rules.quality_rules(edge_docs).collect()
     assert len(found) == edge_docs.count()
