@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import filesystem, materialize, prepare, workdir
-from .token_encode import encoder
+from .token_encode import encoder, vocabulary_of
 
 MAGIC, BLOCK, TAIL = b"TESSPK01", 8192, 40
 
@@ -37,17 +37,30 @@ def id_bits(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    if width == 16:
-        return ids.astype("<u2").tobytes()
-    bits = (ids[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    """The ids' bits one after the other, lowest first: 64 ids fill ``width`` words of 64 bits."""
+    n = len(ids)
+    rows = np.zeros((-(-n // 64), 64), np.uint64)
+    rows.ravel()[:n] = ids
+    out = np.zeros((len(rows), width), "<u8")
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        out[:, word] |= rows[:, k] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, word + 1] |= rows[:, k] >> np.uint64(64 - shift)
+    return out.tobytes()[: -(-n * width // 8)]
 
 
 def unpack(data: bytes, width: int, count: int) -> np.ndarray:
-    if width == 16:
-        return np.frombuffer(data, "<u2", count).astype(np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=count * width, bitorder="little")
-    return (bits.reshape(count, width).astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    full = -(-count // 64)
+    words = np.frombuffer(bytes(data).ljust(full * width * 8, b"\0"), "<u8", full * width).reshape(full, width)
+    out, mask = np.empty((full, 64), np.uint32), np.uint64((1 << width) - 1)
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        value = words[:, word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | words[:, word + 1] << np.uint64(64 - shift)
+        out[:, k] = value & mask
+    return out.ravel()[:count]
 
 
 class PackedWriter:
@@ -64,6 +77,8 @@ class PackedWriter:
         self.nulls += [x is None for x in doc_ids]
         self.sizes += sizes.tolist()
         self.total += len(ids)
+        if len(ids) and int(ids.max()) >> self.width:
+            raise ValueError(f"id {ids.max()} doesn't fit {self.width} bits")
         ids = np.concatenate((self.rest, ids))
         whole = len(ids) // BLOCK * BLOCK
         if whole:
@@ -166,22 +181,23 @@ def _read(step: int = 1 << 20):
     return run
 
 
-def write_packed(docs: DataFrame, tokenizer_path: str, folder: str, vocabulary: int = 50257, end_id: int = 2) -> DataFrame:
+def write_packed(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2) -> DataFrame:
     """Packs the ids of every text into files below folder; a table of the files (part, uri, n_docs, n_ids).
 
-    Files are in ascending doc_id order by part, and so are the documents of a file (null ids first;
-    rows that repeat an id by text). A null or empty text has only the end id.
+    Files are in ascending doc_id order by part, and so are the documents of a file (null ids first; rows
+    that share an id, or have none, by a hash of the text, then by text, so that they may be in several
+    files). A null or empty text has only the end id. The width is that of the tokenizer's largest id; an
+    id that doesn't fit raises.
     """
     spark = docs.sparkSession
     prepare(spark)
-    tokenizer = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    source = Path(tokenizer_path).read_text()
+    tokenizer = spark.sparkContext.broadcast(source)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     files = ordered.mapInArrow(
-        _write(folder, tokenizer, id_bits(max(vocabulary, end_id + 1)), end_id), "part long, uri string, n_docs long, n_ids long"
+        _write(folder, tokenizer, id_bits(max(vocabulary_of(source), end_id + 1)), end_id), "part long, uri string, n_docs long, n_ids long"
     )
     return materialize(files, f"{folder}/files")
 
@@ -201,10 +217,12 @@ def read_packed(files: DataFrame) -> DataFrame:
     return listed.mapInArrow(_read(), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, vocabulary: int = 50257, end_id: int = 2) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """Writes the packed files and returns what ``read_packed`` finds in them.
 
-    An empty table gives no files and no rows. Columns other than doc_id and text are not read.
+    Each row comes back: rows without doc_id first, rows that repeat one each with a start of its own. A
+    null or empty text is the end id alone; a very long one is written and read a part at a time. An empty
+    table gives no files and no rows. Columns other than doc_id and text are not read.
     """
     folder = workdir(docs.sparkSession, "packed")
-    return read_packed(write_packed(docs, tokenizer_path, folder, vocabulary, end_id))
+    return read_packed(write_packed(docs, tokenizer_path, folder, end_id))

@@ -6,18 +6,24 @@ neither neighbour is white space, and before an ASCII mark other than an apostro
 Latin letter. Texts are cut there, equal pieces are found by dictionary encoding, and only pieces that
 this worker hasn't met lately go through the tokenizers library. The ids are those of the whole text,
 which the tests check against the library on arbitrary strings.
+
+That holds for tokenizers of this kind only. Any other (another pre-tokenizer or model, a normaliser, a
+special token with a cut inside) encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: Pieces remembered by a worker at most; all are forgotten when there are more.
-REMEMBERED = 1_000_000
+#: Bytes of pieces and their ids remembered by a worker at most; all are forgotten when there are more.
+REMEMBERED_BYTES = 128 << 20
+#: What a piece takes besides its bytes and ids: a string, an entry of a dictionary, and two numbers.
+_PIECE_BYTES = 150
 #: First bytes of characters of which some are white space: they count as such on either side of a cut.
 _DOUBTFUL = (0xC2, 0xE1, 0xE2, 0xE3)
 #: Bytes at which a piece may begin: space, line feed and ASCII marks other than the apostrophe and those
@@ -30,16 +36,44 @@ _LETTERS[[*range(65, 91), *range(97, 123)]] = True
 _encoders: dict[int, "PieceEncoder"] = {}
 
 
+def vocabulary_of(tokenizer_json: str) -> int:
+    """One more than the largest id, of added tokens too."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
+def cuts_apply(tokenizer_json: str) -> bool:
+    """Whether ids of the pieces that texts are cut into are those of whole texts, for this tokenizer."""
+    made = json.loads(tokenizer_json)
+    before, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or made.get("normalizer") or model.get("type") != "BPE" or made.get("truncation") or made.get("padding"):
+        return False
+    if model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    for token in made.get("added_tokens", ()):
+        if token.get("lstrip") or token.get("rstrip") or token.get("single_word"):
+            return False
+        own = token["content"].encode()
+        for left in (b"a", b"."):
+            cuts = _cuts(np.frombuffer(left + own + b"a", np.uint8))
+            if ((cuts > 1) & (cuts < 1 + len(own))).any():
+                return False
+    return True
+
+
 class PieceEncoder:
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer, self.pieces = Tokenizer.from_str(tokenizer_json), cuts_apply(tokenizer_json)
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
+        self.size = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -57,6 +91,7 @@ class PieceEncoder:
             self.first[row : row + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.count[row : row + len(part)] = sizes
             self.used += len(ids)
+            self.size += 4 * len(ids) + sum(map(len, part)) + _PIECE_BYTES * len(part)
             self.rows.update(zip(part, range(row, row + len(part)), strict=True))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,12 +105,12 @@ class PieceEncoder:
         base = int(offsets[0])
         text = np.frombuffer(data, np.uint8, int(offsets[-1]) - base, base) if data else np.zeros(0, np.uint8)
         offsets = offsets - base
-        cuts = _merged(_cuts(text), offsets)
+        cuts = _merged(_cuts(text) if self.pieces else np.zeros(0, np.int64), offsets)
         pieces = pa.LargeStringArray.from_buffers(
             len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text)
         ).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
-        if len(self.rows) + len(distinct) > REMEMBERED:
+        if self.size > REMEMBERED_BYTES:
             self.forget()
         self._learn([x for x in distinct if x not in self.rows])
         rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,7 +32,7 @@ def test_ids_are_those_of_whole_texts(encoder, texts):
 
 
 def test_forgetting(encoder, docs, monkeypatch):
-    monkeypatch.setattr(token_encode, "REMEMBERED", 50)
+    monkeypatch.setattr(token_encode, "REMEMBERED_BYTES", 5000)
     column = pa.array(docs.text.tolist()[:20])
     for _ in range(2):
         ids, at = encoder.encode(column[5:])
@@ -46,6 +47,46 @@ def test_bits_round_trip(width, data):
     assert len(packed) == -(-len(ids) * width // 8) and unpack(packed, width, len(ids)).tolist() == ids.tolist()
 
 
+def changed(**parts):
+    import json
+
+    return json.dumps(json.loads(open(PATH).read()) | parts)
+
+
+def test_other_tokenizers_encode_whole_texts(docs):
+    assert token_encode.cuts_apply(open(PATH).read())
+    others = [
+        changed(normalizer={"type": "Lowercase"}), changed(pre_tokenizer={"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}),
+        changed(pre_tokenizer=None), changed(added_tokens=[{"id": 60000, "content": "a .b", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]),
+    ]
+    texts = ["Hello World. It is a .b test", *docs.text[:5]]
+    for source in others:
+        assert not token_encode.cuts_apply(source)
+        made = token_encode.PieceEncoder(source)
+        ids, at = made.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
+    assert token_encode.vocabulary_of(open(PATH).read()) == 50257
+
+
+@pytest.mark.parametrize("text", ["日本語" * 20_000, "QUJD" * 30_000, "ab" * 50_000, " \n" * 30_000])
+def test_long_texts_without_cuts(encoder, text):
+    ids, _ = encoder.encode(pa.array([text, "x", text]))
+    assert ids.tolist() == [y for t in (text, "x", text) for y in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
+def test_an_id_that_does_not_fit_raises(tmp_path):
+    writer = PackedWriter(f"file://{tmp_path}/a.tpk", 8)
+    with pytest.raises(ValueError):
+        writer.add([1], np.array([1]), np.array([256], np.uint32))
+
+
+def test_ids_shared_by_many_rows_are_spread(spark):
+    rows = spark.createDataFrame([(None, f"text {k}") for k in range(2000)], "doc_id long, text string").repartition(4)
+    files = write_packed(rows, PATH, workdir(spark, "packed-test")).collect()
+    assert len(files) > 1 and sum(r.n_docs for r in files) == 2000
+
+
 def test_fewest_bits():
     assert [id_bits(x) for x in (1, 2, 3, 256, 257, 50257, 65537)] == [1, 1, 2, 8, 9, 16, 17]
 
@@ -67,9 +108,14 @@ def test_random_access(tmp_path, width):
         assert packed.ids(lo, hi).tolist() == every[max(lo, 0) : hi].tolist()
 
 
+def mark(text):
+    x = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def wanted(rows, encoder):
     out, start = [], 0
-    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, mark(r[1]), r[1] or "")):
         ids = [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
