@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -28,17 +29,18 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+def value(x):
+    """A cell in a form that two engines share: numbers to five digits, whole ones as integers."""
+    if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and x != x:
+        return None
+    if isinstance(x, float):
+        x = round(x, 5)
+        return str(int(x)) if x.is_integer() else x
+    return str(x)
+
+
 def canonical(frame):
-    """Rows in a form that two engines share."""
-    out = []
-    for row in frame[sorted(frame.columns)].itertuples(index=False):
-        out.append(
-            tuple(
-                None if x is None or x != x else round(x, 5) if isinstance(x, float) else str(x)
-                for x in row
-            )
-        )
-    return sorted(out, key=str)
+    return sorted((tuple(map(value, row)) for row in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="session")
