@@ -83,7 +83,9 @@ def test_an_id_that_does_not_fit_raises(tmp_path):
 
 def test_ids_shared_by_many_rows_are_spread(spark):
     rows = spark.createDataFrame([(None, f"text {k}") for k in range(2000)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     files = write_packed(rows, PATH, workdir(spark, "packed-test")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(files) > 1 and sum(r.n_docs for r in files) == 2000
 
 
