@@ -24,14 +24,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item of the benchmark that it holds a window of, at 0.8 or more."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell, probability and draw of every document; half of the tokens are wanted."""
     return mix(_table(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All licenses of all documents, a row for each place, at a Dice coefficient of 0.8 or more."""
     return licenses(_table(spark, sf_dir, "documents"))
 
 
@@ -50,14 +53,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior and score of every document; kept at a score of 0.5 or more."""
     return classify_quality(_table(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, log-likelihood ratio and verdict of every document."""
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back by the index; payloads of any size may be revisits."""
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
@@ -67,6 +73,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed into files, and start, number and crc32 of them read back."""
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -88,7 +95,16 @@ SQL_WORDS = (
     "list_filter(string_split(translate({text}, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '')"
 )
 
+#: Base-32 digits of a SHA-1: of each five hexadecimal digits, four groups of five bits.
+SQL_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '')"
+
 SQL = {
+    "op8_warc_index": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS f FROM p)
+SELECT page_id, payload_bytes, {SQL_BASE32} AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to FROM d
+""",
     "op2_source_mixing": mix_oracle(),
     "op9_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (

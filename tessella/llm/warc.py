@@ -5,6 +5,9 @@ before are revisit records. Index: lines sorted by reversed-host URL key and pag
 blocks of BLOCK_LINES; each index file ends with its directory, the first key and the place of each
 block, and the driver holds one first key for each index file only. A look-up searches that list, then
 a file's directory, then one block, all by bisection, and range-reads one archive record.
+
+Payloads are found equal by digest in a first pass, which shuffles digests and ids only; the second pass
+writes records from the scan, next to the table of payloads that several rows have.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filesystem, materialize, prepare, workdir
+from .shared import BROADCAST_IDS, discard, filesystem, join_hot, materialize, prepare, tasks_for, workdir
 
 BLOCK_LINES, FILE_BYTES = 512, 1 << 30
+#: Bytes of archives that one task of a reading pass looks records up in.
+READ_BYTES = 4 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -144,17 +149,24 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     marked = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    large = marked.filter(F.octet_length("html") >= least_bytes)
     firsts = (
-        marked.filter((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull())
-        .select("sha", "page_id", "url")
+        large.select("sha", F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")).alias("own"))
         .groupBy("sha")
-        .agg(F.min(F.struct("page_id", "url")).alias("x"))
-    )
-    whole = marked.join(firsts, "sha", "left").select(
-        "page_id", "url", "html", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url")
+        .agg(F.min("own").alias("x"), F.count("*").alias("n"))
+        .filter("n > 1 and x is not null")
     )
+    firsts = materialize(firsts.select("sha", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url")), f"{folder}/firsts")
+    if firsts.count() <= BROADCAST_IDS:
+        whole = marked.join(F.broadcast(firsts), "sha", "left")
+    else:
+        spread = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
+        whole = join_hot(marked, firsts, "sha", spread, f"{folder}/hot", "left")
+    whole = whole.select("page_id", "url", "html", "first", "first_url")
     captures = whole.mapInArrow(_write(f"{folder}/archives", date), "key string, page_id long, uri string, at long, size long")
-    return materialize(captures, f"{folder}/captures")
+    captures = materialize(captures, f"{folder}/captures")
+    discard(pages.sparkSession, f"{folder}/firsts", f"{folder}/hot")
+    return captures
 
 
 def _index(folder: str):
@@ -277,18 +289,19 @@ def _key_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
 
 
-def read_captures(pages: DataFrame, index_files: DataFrame) -> DataFrame:
+def read_captures(pages: DataFrame, index_files: DataFrame, archive_bytes: int) -> DataFrame:
     """Looks up every row's url and page_id in the index and reads its record.
 
     Look-ups are sorted by key, so each index block is unpacked about once; repeated rows get the
-    captures of their key one after the other. One first key for each index file goes to all tasks.
+    captures of their key one after the other. One first key for each index file goes to all tasks. The
+    number of tasks follows the bytes of the archives, since the keys that are shuffled are small.
     """
     spark = pages.sparkSession
     prepare(spark)
     files = [(r.first_key, r.uri) for r in index_files.select("first_key", "uri").toLocalIterator()]
     keys = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(_key_rows, "key string")
     return (
-        keys.repartitionByRange("key")
+        keys.repartitionByRange(tasks_for(archive_bytes, READ_BYTES), "key")
         .sortWithinPartitions("key")
         .mapInArrow(
             _read(spark.sparkContext.broadcast(files)),
@@ -301,8 +314,11 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes, indexes and reads back all rows: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     payload_bytes and payload_digest are of the full payload, which for a revisit is read from the
-    response it refers to. An empty table gives no rows; other columns are not read.
+    response it refers to. Nulls are as in ``write_archives``; repeated rows and rows without page_id each
+    come back; very long payloads are one record each. An empty table gives no rows; other columns are not read.
     """
     folder = workdir(pages.sparkSession, "warc")
-    index_files = build_index(write_archives(pages, folder, least_bytes), folder)
-    return read_captures(pages, index_files)
+    captures = write_archives(pages, folder, least_bytes)
+    index_files = build_index(captures, folder)
+    size = captures.agg(F.sum("size")).first()[0] or 0
+    return read_captures(pages, index_files, size)

@@ -51,6 +51,17 @@ def test_repeated_and_idless_rows(spark):
     assert archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_shuffled_path_and_a_payload_of_most_pages(spark, monkeypatch):
+    from tessella.llm import shared
+
+    monkeypatch.setattr(warc, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    rows = [(k, f"http://h{k}.example/", "hot" if k % 2 else f"own {k // 4}") for k in range(100)] + [(None, "http://x/", "hot"), (None, None, "hot")]
+    found = archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert found.rdd.getNumPartitions() > 1 and got(found) == wanted(rows)
+
+
 def test_index_has_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     pages = spark.createDataFrame([(k, f"http://h{k % 7}.example/{k}", f"text {k // 2}") for k in range(60)], "page_id long, url string, html string")
@@ -77,3 +88,9 @@ def test_members_stand_alone_and_damage_is_seen():
     assert payload == b"payload" and headers["warc-type"] == "response"
     with pytest.raises(ValueError):
         parse_record(gzip.decompress(data).replace(b"payload", b"paylaod"))
+
+
+def test_query_equals_sql(agree):
+    from tessella.llm.queries import QUERIES, SQL
+
+    agree(QUERIES["op8_warc_index"], SQL["op8_warc_index"])
