@@ -3,13 +3,18 @@
 An entity's surrogate depends on its kind, its normalised text and a secret key, so the same entity gets
 the same surrogate in every document. Numbers and letters go through a keyed permutation of all strings
 of the same format (a Feistel network), so different entities of a format can't meet; e-mail addresses
-keep their marks and top-level domain, card numbers their length and check digit, tokens their alphabet
-and case, and names their script, their capitals and the gender of their title.
-
-Given names come from lists, and a permutation can hit an entity that really occurs. So the surrogates
-of all distinct entities of the corpus are checked against one another and against the entities
-themselves; whatever clashes takes its next candidate until nothing does. The changed ones, a few of
-all, are looked up when texts are rewritten; everything else is computed where it is needed.
+keep their marks and top-level domain, phone numbers their country code, card numbers their length and
+check digit, tokens their alphabet and case, and names their script, their capitals and the gender of
+their title.
+
+A last name is an entity of its own. It has one surrogate, which stands for it wherever it is: alone, and
+at the end of every whole name. Given names come from lists, and a permutation can hit an entity that
+really occurs. So the surrogates of all distinct entities of the corpus are checked against one another
+and against the entities themselves, last names before whole names; whatever clashes takes its next
+candidate (a whole name other given names) until nothing does. Where a format has no room left, its
+entities go back to one permutation, which keeps them distinct though some are names of others. The
+changed ones, a few of all, are looked up when texts are rewritten; everything else is computed where it
+is needed.
 """
 
 from __future__ import annotations
@@ -25,10 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .shared import materialize, prepare, workdir
+from .shared import discard, join_hot, materialize, prepare, tasks_for, workdir
 
 #: Changed surrogates sent to all tasks at most; beyond that, each document is joined with its own.
 BROADCAST_CHANGED = 100_000
+#: Entities that one task makes surrogates of.
+ENTITIES = 4_000
+#: Rounds of candidates at most; a format that clashes for STALLED rounds without getting better is full.
+ROUNDS, STALLED = 40, 3
+#: Candidates of a given name that come from a list; later ones are permutations of its letters.
+LISTED = 3
+#: The attempt that stands for the one permutation of a full format.
+FULL = -1
 
 #: Titles by gender.
 TITLES = {
@@ -46,6 +59,11 @@ GIVEN = {
     ("cyrillic", "n"): ["Женя", "Саша", "Валя", "Слава", "Шура"],
 }
 
+#: Country codes of two digits; those that begin with 1 or 7 have one digit, all others three.
+TWO_DIGIT_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
 _GENDER = {t.casefold(): g for g, titles in TITLES.items() for t in titles}
 #: As above or in capitals.
 _TITLES = sorted({y for x in TITLES.values() for t in x for y in (t, t.upper())}, key=lambda t: (-len(t), t))
@@ -129,6 +147,23 @@ def _ipv6(text: str) -> str | None:
     return str(found) if _DIGIT.search(text) and not found.is_loopback else None
 
 
+def _plain_name(name: str) -> str:
+    """A name in capitals as it is written otherwise."""
+    if any(c.islower() for c in name):
+        return name
+    return re.sub(r"[^\W\d_]+", lambda m: m[0][0] + m[0][1:].lower(), name)
+
+
+def country_code(digits: str) -> str:
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
+def _phone(text: str) -> str:
+    """The digits after a plus; a number without country code is one of +1."""
+    digits = re.sub(r"\D", "", text)
+    return f"+{digits}" if text.startswith("+") or len(digits) == 11 else f"+1{digits}"
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -138,8 +173,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of all entities, in order and without overlaps.
 
     A card number needs a valid check digit; an IBAN needs a valid checksum; where what looks like one is not
-    valid, groups of characters before or after are left out. A name is what follows a
-    title, as gender, colon and name; other mentions of a titled person's whole name or last name count too.
+    valid, groups of characters before or after are left out. A name is what follows a title: ``l:`` and a last
+    name, or gender, colon and whole name. Of several titles of a name the first that tells a gender counts.
+    Other mentions of a titled person's whole name or last name count too. Spaces and marks of phone numbers,
+    and capitals of names and e-mail addresses, make no difference.
     """
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
@@ -151,6 +188,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             found.append((start, end, kind, normal))
 
     people: dict[str, str] = {}
+    spellings: dict[str, str] = {}
+    titled: list[tuple[int, int]] = []
     digits = _DIGIT.search(text)
     for kind, pattern in PATTERNS:
         if kind == "email":
@@ -168,19 +207,28 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             matches = pattern.finditer(text, max(0, digits.start() - 128)) if digits else ()
         for m in matches:
             if kind == "name":
-                gender = _GENDER[m["title"].casefold()]
-                people.setdefault(m["name"], f"{gender}:{m['name']}")
-                add(*m.span("name"), kind, people[m["name"]])
+                name, gender = _plain_name(m["name"]), _GENDER[m["title"].casefold()]
+                if people.get(name, "n") == "n":
+                    people[name] = gender
+                spellings.setdefault(m["name"], name)
+                titled.append(m.span("name"))
             elif kind == "ipv6":
                 if normal := _ipv6(m[0]):
                     add(*m.span(), kind, normal)
+            elif kind == "phone":
+                add(*m.span(), kind, _phone(m[0]))
             else:
                 add(*m.span(), kind, m[0].lower() if kind in ("email", "secret") else m[0])
-    mentions: dict[str, str] = {}
-    for name, normal in people.items():
-        mentions[name] = normal
+
+    def named(name: str) -> str:
+        return f"{people[name]}:{name}" if " " in name else f"l:{name}"
+
+    for start, end in titled:
+        add(start, end, "name", named(spellings[text[start:end]]))
+    mentions = {spelling: named(name) for spelling, name in spellings.items()}
+    for spelling, name in spellings.items():
         if " " in name:
-            mentions.setdefault(name.rpartition(" ")[2], f"{normal}/last")
+            mentions.setdefault(spelling.rpartition(" ")[2], f"l:{name.rpartition(' ')[2]}")
     if mentions:
         every = "|".join(re.escape(x) for x in sorted(mentions, key=len, reverse=True))
         for m in re.finditer(rf"(?<!\w)(?:{every})(?!\w)", text):
@@ -223,8 +271,8 @@ class Surrogates:
                 out[k] = alphabets[k][x]
         return "".join(out)
 
-    def of(self, kind: str, normal: str, attempt: int = 0) -> str:
-        """The surrogate of a normal form, itself in normal form."""
+    def of(self, kind: str, normal: str, attempt: int = 0, family: str | None = None) -> str:
+        """The surrogate of a normal form, itself in normal form; ``family`` is that of a whole name's last name."""
         tweak = f"{kind}|{attempt}"
         if kind == "email":
             local, _, domain = normal.rpartition("@")
@@ -250,25 +298,33 @@ class Surrogates:
         if kind == "secret":
             value = self.permute(int(normal, 16), 16 ** len(normal), tweak)
             return f"{value:0{len(normal)}x}"
-        if kind == "phone" and normal.startswith("+"):
-            country = re.match(r"\+\d{1,3}", normal)[0]
-            return country + self.format_preserving(normal[len(country) :], tweak)
+        if kind == "phone":
+            code = "+" + country_code(re.sub(r"\D", "", normal))
+            return code + self.format_preserving(normal[len(code) :], f"{tweak}|{code}")
         if kind == "name":
             gender, _, name = normal.partition(":")
-            last = name.endswith("/last")
-            parts = name.removesuffix("/last").split(" ")
-            script = "cyrillic" if re.search("[а-яА-Я]", name) else "latin"
-            family = self.format_preserving(parts[-1], f"family|{attempt}")
-            if last or len(parts) == 1:
-                return family
-            names = GIVEN[script, gender]
-            given = [
-                self.format_preserving(x, f"initial|{attempt}|{k}") if x.endswith(".") else names[self._number(f"given|{attempt}|{k}|{x}", len(names))]
-                for k, x in enumerate(parts[:-1])
-            ]
-            return " ".join([*given, family])
+            *parts, last = name.split(" ")
+            if gender == "l":
+                return self.format_preserving(last, f"family|{attempt}")
+            given = [self._given(gender, x, attempt, k) for k, x in enumerate(parts)]
+            return " ".join([*given, family or self.format_preserving(last, "family|0")])
         return self.format_preserving(normal, tweak)
 
+    def _given(self, gender: str, name: str, attempt: int, place: int) -> str:
+        if name.endswith(".") or not 0 <= attempt < LISTED:
+            return self.format_preserving(name, f"given|{attempt}|{place}")
+        names = GIVEN["cyrillic" if re.search("[а-яА-Я]", name) else "latin", gender]
+        return names[self._number(f"given|{attempt}|{place}|{name}", len(names))]
+
+
+def form_of(kind: str, normal: str, family: str | None) -> str:
+    """What surrogates of a kind that could be equal have in common: the format, or of a whole name the new last name."""
+    if family is not None:
+        return family
+    if kind in ("ip", "ipv6", "secret"):
+        return str(len(normal) if kind == "secret" else 0)
+    return "".join(a[0] if (a := _alphabet(c)) else c for c in normal)
+
 
 def _alphabet(c: str) -> str | None:
     """The characters of a kind with c: digits, or letters of its script and case."""
@@ -290,19 +346,28 @@ def _shaped(original: str, kind: str, surrogate: str) -> str:
     if kind in ("card", "iban"):
         left = iter(surrogate)
         return "".join(next(left) if c.isalnum() else c for c in original)
-    if kind in ("email", "secret") and original.isupper():
+    if kind == "phone":
+        digits = [c for c in surrogate if c.isdigit()][-sum(map(str.isdigit, original)) :]
+        return "".join(digits.pop(0) if c.isdigit() else c for c in original)
+    if kind in ("email", "secret", "name") and original.isupper():
         return surrogate.upper()
     return surrogate
 
 
+def entities(text: str | None) -> set[tuple[str, str]]:
+    """(kind, normal form) of the entities of a text, last names of whole names among them."""
+    found = {x[2:] for x in detect(text or "")}
+    return found | {("name", f"l:{n.rpartition(' ')[2]}") for k, n in found if k == "name" and " " in n}
+
+
 def _entity_rows(batches):
     for batch in batches:
-        kinds, normals = [], []
-        for text in batch.column(0).to_pylist():
-            for kind, normal in {(k, n) for _, _, k, n in detect(text or "")}:
-                kinds.append(kind)
-                normals.append(normal)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(normals, pa.string())], ["kind", "normal"])
+        found = sorted({x for text in batch.column(0).to_pylist() for x in entities(text)})
+        columns = list(zip(*found, strict=True)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "normal"])
+
+
+_CANDIDATE = "kind string, normal string, family string, attempt int, form string, surrogate string"
 
 
 def _surrogate_rows(key: bytes):
@@ -310,37 +375,72 @@ def _surrogate_rows(key: bytes):
         made = Surrogates(key)
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            out = pa.array([made.of(k, n, a) for k, n, a in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], ["kind", "normal", "attempt", "surrogate"])
+            form = pa.array([form_of(k, n, f) for k, n, f, _ in rows], pa.string())
+            out = pa.array([made.of(k, n, a, f) for k, n, f, a in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, form, out], ["kind", "normal", "family", "attempt", "form", "surrogate"])
 
     return run
 
 
+def _settled(rows: DataFrame, key: bytes, folder: str) -> DataFrame:
+    """(kind, normal, attempt, surrogate) of distinct rows(kind, normal, family): no two of a kind alike, none an entity.
+
+    Of those that clash all but the smallest take their next candidate, and every one whose surrogate is an
+    entity itself. Formats in which that comes to no end go back to one permutation each.
+    """
+    parts = tasks_for(rows.count(), ENTITIES)
+
+    def made(chosen: DataFrame, attempt) -> DataFrame:
+        dealt = chosen.select("kind", "normal", "family", attempt.cast("int").alias("attempt")).repartition(parts, "kind", "normal")
+        return dealt.mapInArrow(_surrogate_rows(key), _CANDIDATE)
+
+    plain = F.when(F.col("kind") == "name", F.substring("normal", 3, 1 << 30)).otherwise(F.col("normal"))
+    real = materialize(rows.select("kind", plain.alias("surrogate"), F.lit(True).alias("real")).distinct(), f"{folder}/real")
+    rows, fewest, stalled = materialize(made(rows, F.lit(0)), f"{folder}/candidates-0"), None, 0
+    for turn in range(1, ROUNDS + 1):
+        place = F.row_number().over(W.Window.partitionBy("kind", "surrogate").orderBy("attempt", "normal"))
+        marked = rows.withColumn("place", place).join(real, ["kind", "surrogate"], "left")
+        clash = (F.col("place") > 1) | F.col("real").isNotNull()
+        names = [x.split()[0] for x in _CANDIDATE.split(", ")]
+        marked = materialize(marked.select(*names, clash.alias("clash")), f"{folder}/checked-{turn}")
+        left = marked.filter("clash").count()
+        if not left:
+            return marked
+        stalled = stalled + 1 if fewest is not None and left >= fewest else 0
+        fewest = left if fewest is None else min(left, fewest)
+        if stalled == STALLED:
+            break
+        moved = made(marked.filter("clash"), F.col("attempt") + 1)
+        rows = materialize(marked.filter("not clash").drop("clash").union(moved), f"{folder}/candidates-{turn}")
+    full = marked.filter("clash").select("kind", "form").distinct()
+    again = made(marked.join(full, ["kind", "form"], "left_semi"), F.lit(FULL))
+    return materialize(marked.drop("clash").join(full, ["kind", "form"], "left_anti").select(*names).union(again), f"{folder}/full")
+
+
 def assign_surrogates(texts: DataFrame, key: bytes, folder: str) -> DataFrame:
-    """(kind, normal, attempt, surrogate) of all distinct entities of texts(text); no two of a kind alike, none an entity.
+    """(kind, normal, surrogate, changed) of all distinct entities of texts(text).
 
-    A clash moves all but the smallest of the entities concerned, and every one whose surrogate is an
-    entity itself, to their next attempt.
+    A whole name after titles without a gender is the person of that name after titles of one gender, if
+    the corpus has these. ``changed`` says that the surrogate isn't what the entity alone would give.
     """
-    schema = "kind string, normal string, attempt int, surrogate string"
-    distinct = texts.select("text").mapInArrow(_entity_rows, "kind string, normal string").distinct()
-    rows = materialize(distinct.select("*", F.lit(0).alias("attempt")).mapInArrow(_surrogate_rows(key), schema), f"{folder}/entities-0")
-    plain = F.regexp_replace("normal", "^[fmn]:|/last$", "")
-    real = rows.select("kind", F.when(F.col("kind") == "name", plain).otherwise(F.col("normal")).alias("surrogate"), F.lit(True).alias("real"))
-    for turn in range(1, 100):
-        group = F.when(F.col("normal").endswith("/last"), F.concat(F.col("kind"), F.lit("/last"))).otherwise(F.col("kind"))
-        place = F.row_number().over(W.Window.partitionBy(group, "surrogate").orderBy("attempt", "normal"))
-        marked = rows.withColumn("place", place).join(real.distinct(), ["kind", "surrogate"], "left")
-        # a last name alone is a form of whole names, which several people may share
-        clash = (~F.col("normal").endswith("/last")) & ((F.col("place") > 1) | F.col("real").isNotNull())
-        marked = materialize(marked.select("kind", "normal", "attempt", "surrogate", F.coalesce(clash, F.lit(False)).alias("clash")), f"{folder}/checked-{turn}")
-        if not marked.filter("clash").limit(1).count():
-            return marked.drop("clash")
-        again = marked.filter("clash").select("kind", "normal", (F.col("attempt") + 1).alias("attempt"))
-        rows = materialize(
-            marked.filter("not clash").drop("clash").union(again.mapInArrow(_surrogate_rows(key), schema)), f"{folder}/entities-{turn}"
-        )
-    raise RuntimeError("surrogates still clash after 100 attempts")
+    found = materialize(texts.select("text").mapInArrow(_entity_rows, "kind string, normal string").distinct(), f"{folder}/found")
+    whole = (F.col("kind") == "name") & ~F.col("normal").startswith("l:")
+    plain = _settled(found.filter(~whole).withColumn("family", F.lit(None).cast("string")), key, f"{folder}/plain")
+    names = found.filter(whole).select("normal", F.substring("normal", 1, 1).alias("gender"), F.substring("normal", 3, 1 << 30).alias("name"))
+    of = {g: F.max(F.when(F.col("gender") == g, True)).alias(g) for g in "fm"}
+    known = names.groupBy("name").agg(*of.values()).filter("f is null or m is null").select("name", F.expr("if(f, 'f', if(m, 'm', 'n'))").alias("g"))
+    person = F.when(F.col("gender") == "n", F.concat(F.coalesce("g", "gender"), F.lit(":"), "name")).otherwise(F.col("normal"))
+    names = materialize(names.join(known, "name", "left").select("normal", person.alias("person")), f"{folder}/names")
+    people = names.select(F.lit("name").alias("kind"), F.col("person").alias("normal")).distinct()
+    people = materialize(people.withColumn("last", F.concat(F.lit("l:"), F.substring_index(F.col("normal"), " ", -1))), f"{folder}/people")
+    last = plain.filter("kind = 'name'").select(F.col("normal").alias("last"), F.col("surrogate").alias("family"), F.col("attempt").alias("of_last"))
+    people = materialize(join_hot(people, last, "last", F.col("normal"), f"{folder}/hot-last").drop("last"), f"{folder}/people-named")
+    chosen = _settled(people.select("kind", "normal", "family"), key, f"{folder}/whole")
+    chosen = chosen.select(F.col("normal").alias("person"), "surrogate", "attempt").join(people.select(F.col("normal").alias("person"), "of_last"), "person")
+    named = names.join(chosen, "person").select(
+        F.lit("name").alias("kind"), "normal", "surrogate", ((F.col("attempt") != 0) | (F.col("of_last") != 0) | (F.col("person") != F.col("normal"))).alias("changed")
+    )
+    return plain.select("kind", "normal", "surrogate", (F.col("attempt") != 0).alias("changed")).union(named)
 
 
 def _rewrite(key: bytes, changed):
@@ -377,13 +477,16 @@ def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_entities, kinds): every row's text with all entities replaced.
 
     Null texts stay null and texts without entities stay as they are. Null doc_ids and repeated rows each
-    come back, rewritten alike. Other columns are not read; an empty table gives no rows.
+    come back, rewritten alike; an entity has the same surrogate in all of them. Of entities that clash the
+    smallest normal form stays (ties can't be: they are distinct). Very long texts are searched whole. Other
+    columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     folder = workdir(spark, "pii")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    changed = assign_surrogates(texts, key, folder).filter("attempt > 0").select("kind", "normal", "surrogate")
+    changed = materialize(assign_surrogates(texts, key, folder).filter("changed").select("kind", "normal", "surrogate"), f"{folder}-changed")
+    discard(spark, folder)
     schema = "doc_id long, text string, n_entities long, kinds array<string>"
     if changed.count() <= BROADCAST_CHANGED:
         known = {(r.kind, r.normal): r.surrogate for r in changed.toLocalIterator()}

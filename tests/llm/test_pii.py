@@ -3,7 +3,7 @@ import re
 import pytest
 
 from tessella.llm import pii
-from tessella.llm.pii import Surrogates, assign_surrogates, detect, luhn, surrogate_texts
+from tessella.llm.pii import Surrogates, assign_surrogates, country_code, detect, entities, form_of, luhn, surrogate_texts
 
 KEY = b"test"
 TEXT = (
@@ -50,7 +50,7 @@ def test_forms_once_missed(text):
     assert [(k, text[a:b]) for a, b, k, _ in found] == MISSED[text]
     for _, _, kind, normal in found:
         new = made.of(kind, normal)
-        assert new != normal and (kind in ("name", "ipv6") or len(new) == len(normal))
+        assert new not in (normal, normal[2:]) and (kind in ("name", "ipv6") or len(new) == len(normal))
 
 
 @pytest.mark.parametrize("clean", ["at 12:30:45", "std::vector face::add a::b", "100 200 3000", "ghp_short", "4845 1681 1440 7328 12", "::1"])
@@ -65,7 +65,7 @@ def test_formats_are_kept():
     assert luhn(card) and len(card) == 16 and card[0] == "4"
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", made.of("phone", "+1 (017) 555-7713"))
     assert re.fullmatch("[0-9a-f]{40}", made.of("secret", "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"))
-    assert re.fullmatch("[А-Я][а-я]{6}", made.of("name", "f:Иванова"))
+    assert re.fullmatch("[А-Я][а-я]{6}", made.of("name", "l:Иванова"))
     given = made.of("name", "f:Anna Smith").split()[0]
     assert given in pii.GIVEN["latin", "f"]
 
@@ -77,18 +77,93 @@ def test_permutations_are_one_to_one():
     assert len({made.format_preserving(f"{k:03d}", "t") for k in range(1000)}) == 1000
 
 
-def test_coreference_and_distinctness(spark, tmp_path):
-    people = [f"Mr. {g} {f}" for f in ("Smith", "Jones") for g in ("Al", "Bo", "Cy", "Di", "Ed", "Flo", "Gus", "Hal", "Ike", "Jo", "Kay", "Lou")]
-    rows = [(k, f"{p} spoke. {p.split()[-1]} left. x{k % 5}@example.org") for k, p in enumerate(people)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
+def settle(rows, made):
+    """Surrogates of rows {(kind, normal): family} by rounds over plain dictionaries."""
+    real = {(k, n[2:] if k == "name" else n) for k, n in rows}
+    attempt, fewest, stalled = dict.fromkeys(rows, 0), None, 0
+    while True:
+        new = {(k, n): made.of(k, n, attempt[k, n], f) for (k, n), f in rows.items()}
+        holders = {}
+        for k, n in sorted(rows, key=lambda x: (attempt[x], x[1])):
+            holders.setdefault((k, new[k, n]), []).append((k, n))
+        clash = {x for (k, _), own in holders.items() for x in own[1:]} | {x for x in rows if (x[0], new[x]) in real}
+        if not clash:
+            return new
+        stalled = stalled + 1 if fewest is not None and len(clash) >= fewest else 0
+        fewest = len(clash) if fewest is None else min(len(clash), fewest)
+        if stalled == pii.STALLED:
+            full = {(k, form_of(k, n, rows[k, n])) for k, n in clash}
+            return {(k, n): made.of(k, n, pii.FULL, f) if (k, form_of(k, n, f)) in full else new[k, n] for (k, n), f in rows.items()}
+        attempt |= {x: attempt[x] + 1 for x in clash}
+
+
+def brute(texts):
+    made, every = Surrogates(KEY), {x for t in texts for x in entities(t)}
+    whole = {n for k, n in every if k == "name" and not n.startswith("l:")}
+    new = settle({(k, n): None for k, n in every if n not in whole}, made)
+    person = {}
+    for n in whole:
+        sexes = [g for g in "fm" if f"{g}:{n[2:]}" in whole]
+        person[n] = f"{sexes[0]}:{n[2:]}" if n[0] == "n" and len(sexes) == 1 else n
+    named = settle({("name", p): new["name", "l:" + p.split()[-1]] for p in person.values()}, made)
+    new |= {("name", n): named["name", p] for n, p in person.items()}
+    out = []
+    for text in texts:
+        for a, b, kind, normal in reversed(detect(text or "")):
+            text = text[:a] + pii._shaped(text[a:b], kind, new[kind, normal]) + text[b:]
+        out.append(text)
+    return out, new
+
+
+FULL_FORMAT = [f"Mr. {a}{b} left" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+CLASHING = [f"Mr. {g} {f} spoke. {f} left. x{k % 5}@example.org" for f in ("Smith", "Jones") for k, g in enumerate(("Al", "Bo", "Cy", "Di", "Ed", "Flo", "Gus", "Hal", "Ike", "Jo", "Kay", "Lou"))]
+MIXED = [
+    *CLASHING, *FULL_FORMAT, None, "", "clean text", TEXT, TEXT, "Dr. Anna Smith and Mrs Anna Smith", "Dr. Anna Smith alone", "MR AL SMITH", "Prof. Kim Lee; Mr. Kim Lee; Ms Kim Lee",
+    "call (212) 555-1234 or +1 212 555 1234 or 1 212 555 1234 or 212.555.1234", "+49 30 1234567, +351 21 123 4567", *[f"Mr. X Smith spoke. Smith left {k}." for k in range(3)],
+    *[f"Ms {c}{d} Smith, Ms {c}{d}{d} Berg" for c in "ABCDEFGH" for d in "aeiou"],
+]
+
+
+def test_query_against_brute_force(spark, docs):
+    frame = spark.createDataFrame(docs)
+    wanted, _ = brute(docs.text.tolist())
+    found = {r.doc_id: r.text for r in surrogate_texts(frame, KEY).collect()}
+    assert [found[d] for d in docs.doc_id] == wanted and wanted != docs.text.tolist()
+
+
+def test_clashes_and_full_formats_against_brute_force(spark, tmp_path):
+    frame = spark.createDataFrame([(k if k % 7 else None, t, "x") for k, t in enumerate(MIXED)], "doc_id long, text string, kinds string")
+    wanted, new = brute(MIXED)
+    assert sorted(str(r.text) for r in surrogate_texts(frame, KEY).collect()) == sorted(map(str, wanted))
     table = assign_surrogates(frame, KEY, str(tmp_path)).toPandas()
-    whole = table[~table.normal.str.endswith("/last")]
-    assert not whole.duplicated(["kind", "surrogate"]).any() and (table.attempt > 0).any()
-    found = {r.doc_id: r for r in surrogate_texts(frame, KEY).collect()}
-    assert len({found[k].text.split(" spoke")[0] for k, _ in rows}) == len(people)
-    assert {found[k].text.split()[-1] for k, _ in rows} == {found[k].text.split()[-1] for k in range(5)}
-    for k, text in rows:
-        assert not set(re.findall("Smith|Jones|example", text)) & set(re.findall(r"\w+", found[k].text))
+    assert {(r.kind, r.normal): r.surrogate for r in table.itertuples()} == new and table.changed.any()
+    names = {n: x for (k, n), x in new.items() if k == "name"}
+    people = {n for n in names if n not in ("n:Anna Smith",)}
+    assert len({names[n] for n in people}) == len(people)  # no two alike, in full formats too
+    for n, x in names.items():
+        assert x.split()[-1] == names["l:" + n.split()[-1].removeprefix("l:")]  # one last name everywhere
+    by = dict(zip(MIXED, wanted, strict=True))
+    one, two = by["Dr. Anna Smith and Mrs Anna Smith"][4:].split(" and Mrs ")
+    assert one == two == by["Dr. Anna Smith alone"][4:-6]
+    kims = [x.split(" ", 1)[1] for x in by["Prof. Kim Lee; Mr. Kim Lee; Ms Kim Lee"].split("; ")]
+    assert len(set(kims)) == 1  # in one text a name is one person
+    assert by["MR AL SMITH"] == "MR " + names["m:Al Smith"].upper()
+    phones = by["call (212) 555-1234 or +1 212 555 1234 or 1 212 555 1234 or 212.555.1234"]
+    assert len({re.sub(r"\D", "", x)[-10:] for x in phones[5:].split(" or ")}) == 1 and "212" not in phones[:9]
+    assert re.fullmatch(r"\+49 \d\d \d{7}, \+351 \d\d \d{3} \d{4}", by["+49 30 1234567, +351 21 123 4567"])
+
+
+def test_country_codes():
+    assert [country_code(x) for x in ("15551234567", "7495", "4930", "35121", "20100", "21655", "1")] == ["1", "7", "49", "351", "20", "216", "1"]
+
+
+def test_edges_with_entities(spark):
+    long = "word " * 200_000 + "mail a.b@example.com now"
+    rows = [(1, TEXT, "a"), (1, TEXT, "a"), (None, TEXT, "b"), (None, None, None), (2, long, "c"), (3, "", None), (4, "x a.b@example.com", "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, normal string").selectExpr("*", "'clash' as surrogate", "'clash' as n_entities", "'clash' as kind")
+    found = sorted(((r.doc_id or 0, r.text or "", r.n_entities) for r in surrogate_texts(frame, KEY).collect()))
+    wanted, _ = brute([r[1] for r in rows])
+    assert found == sorted((d or 0, t or "", len(detect(s or ""))) for (d, s, _), t in zip(rows, wanted, strict=True))
 
 
 def test_joined_path_gives_the_same(spark, monkeypatch):
