@@ -1,7 +1,8 @@
 """Mixing to target weights: iterative proportional fitting and calibrated sampling, in SQL functions only.
 
 Documents fall into cells of source, language and topic. Raking scales the token shares of the cells to
-the target share of each source, language and topic in turn, SWEEPS times over. A cell's documents are
+the target share of each source, language and topic in turn, SWEEPS times over, and again until all
+marginals are within TOLERANCE of their targets or come no closer to them. A cell's documents are
 then sampled with one probability, its raked share over its natural share times a common factor; where
 that passes 1 the cell is taken whole, and the factor is raised so that the expected tokens are the
 wanted ones. The draw of a document is a hash of its id, so it is the same at any time and place.
@@ -18,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .quality_rules import word_list
-from .shared import materialize, workdir
+from .shared import discard, join_hot, materialize, workdir
 
 DIMENSIONS = ("source", "lang", "topic")
-#: A value's target share is proportional to its natural share to this power: below 1 favours the rare.
+#: Without a target of its own, a value's share is proportional to its natural share to this power: below 1 favours the rare.
 POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.8}
 SWEEPS, CELLS, NONE = 12, 100_000, "(none)"
+#: How far a marginal may be from its target, and times that SWEEPS sweeps are made at most.
+TOLERANCE, TURNS = 1e-7, 50
+Targets = dict[str, dict[str, float]]
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -63,24 +67,77 @@ def draw(seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def probabilities(cells: DataFrame, keep_share: float, powers: dict | None = None) -> DataFrame:
-    """(source, lang, topic, raked_share, probability) of cells(source, lang, topic, tokens)."""
-    powers = powers or POWERS
-    total = F.sum("tokens").over(W.Window.partitionBy())
+def _named(d: str, targets: Targets) -> tuple[Column, float]:
+    """The target that a value of dimension d is given (null: none), and the share left for values without one."""
+    given = targets.get(d, {})
+    column = F.lit(None).cast("double")
+    if given:
+        column = F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, float(v))])[F.col(d)]
+    return column, max(0.0, 1.0 - sum(given.values()))
+
+
+def check_targets(targets: Targets) -> None:
+    for d, given in targets.items():
+        if d not in DIMENSIONS or any(not 0 <= x <= 1 for x in given.values()) or sum(given.values()) > 1 + 1e-9:
+            raise ValueError(f"targets of {d}: shares of {', '.join(DIMENSIONS)} between 0 and 1 that add up to 1 at most")
+
+
+def with_targets(cells: DataFrame, powers: dict | None = None, targets: Targets | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, share, t_..., w): natural shares, target shares, and weights to begin with."""
+    powers, targets = powers or POWERS, targets or {}
+    whole = W.Window.partitionBy()
+    total = F.sum("tokens").over(whole)
     rows = cells.withColumn("share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), total), F.lit(0.0)))
     for d in DIMENSIONS:
         own = F.sum("share").over(W.Window.partitionBy(d))
         rows = rows.withColumn(f"n_{d}", own).withColumn(f"cells_{d}", F.count("*").over(W.Window.partitionBy(d)))
-        # each cell holds its part of the value's power, so that the whole table sums to the norm
-        part = F.pow(f"n_{d}", F.lit(powers[d])) / F.col(f"cells_{d}")
-        norm = F.sum(F.when(F.col(f"n_{d}") > 0, part).otherwise(0.0)).over(W.Window.partitionBy())
-        rows = rows.withColumn(f"t_{d}", F.coalesce(F.try_divide(F.pow(f"n_{d}", F.lit(powers[d])), norm), F.lit(0.0)))
-    rows = rows.select(*DIMENSIONS, "tokens", "share", *[f"t_{d}" for d in DIMENSIONS], F.col("share").alias("w"))
+        power, n = F.pow(f"n_{d}", F.lit(powers[d])), F.col(f"cells_{d}")
+        given, left = _named(d, targets)
+        if d in targets:
+            rest = F.sum(F.when(given.isNull() & (F.col(f"n_{d}") > 0), power / n)).over(whole)
+            rows = rows.withColumn(f"p_{d}", F.coalesce(given, F.try_divide(F.lit(left) * power, rest), F.lit(0.0)))
+        else:
+            rows = rows.withColumn(f"p_{d}", power)
+        # each cell holds its part of the value's weight, so that the whole table sums to the norm
+        norm = F.sum(F.when(F.col(f"n_{d}") > 0, F.col(f"p_{d}") / n).otherwise(0.0)).over(whole)
+        rows = rows.withColumn(f"t_{d}", F.when(F.col(f"n_{d}") > 0, F.coalesce(F.try_divide(F.col(f"p_{d}"), norm), F.lit(0.0))).otherwise(0.0))
+    return rows.select(*DIMENSIONS, "tokens", "share", *[f"t_{d}" for d in DIMENSIONS], F.col("share").alias("w"))
+
+
+def raked(rows: DataFrame) -> DataFrame:
+    """SWEEPS sweeps over all dimensions."""
     for _ in range(SWEEPS):
         for d in DIMENSIONS:
             sums = F.sum("w").over(W.Window.partitionBy(d))
             rows = rows.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), sums), F.lit(0.0)))
-    rows = rows.withColumn("ratio", F.try_divide("w", "share"))
+    return rows
+
+
+def marginal_error(rows: DataFrame) -> float:
+    """The largest difference of a value's share from its target."""
+    worst = 0.0
+    for d in DIMENSIONS:
+        sums = rows.groupBy(d).agg(F.abs(F.sum("w") - F.max(f"t_{d}")).alias("x"))
+        worst = max(worst, _value(sums, F.max("x")))
+    return worst
+
+
+def converged(rows: DataFrame, sweeps, folder: str) -> DataFrame:
+    """rows after sweeps(rows, turn) until the marginals are met, or, where no weights meet them all, come no closer."""
+    before = float("inf")
+    for turn in range(TURNS):
+        rows = materialize(sweeps(rows, turn), f"{folder}/raked-{turn}")
+        error = marginal_error(rows)
+        if error <= TOLERANCE or error > 0.99 * before:
+            break
+        before = error
+    return rows
+
+
+def probabilities(cells: DataFrame, keep_share: float, folder: str, powers: dict | None = None, targets: Targets | None = None) -> DataFrame:
+    """(source, lang, topic, raked_share, probability) of cells(source, lang, topic, tokens)."""
+    rows = converged(with_targets(cells, powers, targets), lambda x, turn: raked(x.coalesce(1)), folder)
+    rows = rows.coalesce(1).withColumn("ratio", F.try_divide("w", "share"))
     # cells whose ratio is largest are capped first; the factor for k capped cells meets the wanted share
     order = W.Window.partitionBy().orderBy(F.desc("ratio"), *DIMENSIONS)
     before = order.rowsBetween(W.Window.unboundedPreceding, -1)
@@ -95,29 +152,45 @@ def probabilities(cells: DataFrame, keep_share: float, powers: dict | None = Non
     return rows.select(*DIMENSIONS, F.col("w").alias("raked_share"), probability.alias("probability"))
 
 
+def _cell_hash() -> Column:
+    return F.concat_ws("/", *DIMENSIONS)
+
+
 def _value(rows: DataFrame, total: Column) -> float:
     return float(rows.agg(total).first()[0] or 0.0)
 
 
-def many_probabilities(cells: DataFrame, keep_share: float, folder: str, powers: dict | None = None) -> DataFrame:
+def many_probabilities(cells: DataFrame, keep_share: float, folder: str, powers: dict | None = None, targets: Targets | None = None) -> DataFrame:
     """``probabilities`` for cells too many for one task, however unevenly their values are spread.
 
     Sums by value are partial aggregates joined back, each step is written to ``folder``, and the common
     factor is found by raising it until no further cell reaches 1.
     """
-    powers = powers or POWERS
+    powers, targets = powers or POWERS, targets or {}
     total = _value(cells, F.sum("tokens"))
     rows = cells.withColumn("share", F.col("tokens") / F.lit(total) if total else F.lit(0.0))
     for d in DIMENSIONS:
-        sums = materialize(rows.groupBy(d).agg(F.pow(F.sum("share"), F.lit(powers[d])).alias("p")).filter("p > 0"), f"{folder}/targets-{d}")
+        given, left = _named(d, targets)
+        sums = rows.groupBy(d).agg(F.pow(F.sum("share"), F.lit(powers[d])).alias("p")).filter("p > 0").withColumn("given", given)
+        sums = materialize(sums, f"{folder}/values-{d}")
+        if d in targets:
+            rest = _value(sums.filter("given is null"), F.sum("p"))
+            sums = sums.withColumn("p", F.coalesce("given", F.col("p") * F.lit(left / rest if rest else 0.0)))
         norm = _value(sums, F.sum("p"))
-        rows = rows.join(sums.select(d, (F.col("p") / F.lit(norm)).alias(f"t_{d}")), d, "left").fillna(0.0, [f"t_{d}"])
+        sums = materialize(sums.select(d, (F.col("p") / F.lit(norm) if norm else F.lit(0.0)).alias(f"t_{d}")), f"{folder}/targets-{d}")
+        rows = join_hot(materialize(rows, f"{folder}/rows-{d}"), sums, d, _cell_hash(), f"{folder}/hot-{d}", "left").fillna(0.0, [f"t_{d}"])
     rows = materialize(rows.withColumn("w", F.col("share")), f"{folder}/rake-start")
-    for k in range(SWEEPS):
-        for d in DIMENSIONS:
-            sums = rows.groupBy(d).agg(F.sum("w").alias("n"))
-            scaled = F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), F.col("n")), F.lit(0.0))
-            rows = materialize(rows.join(sums, d).withColumn("w", scaled).drop("n"), f"{folder}/rake-{k}-{d}")
+
+    def sweeps(rows: DataFrame, turn: int) -> DataFrame:
+        for k in range(SWEEPS):
+            for d in DIMENSIONS:
+                sums = rows.groupBy(d).agg(F.sum("w").alias("n"))
+                scaled = F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), F.col("n")), F.lit(0.0))
+                joined = join_hot(rows, sums, d, _cell_hash(), f"{folder}/hot-{turn}-{k}-{d}")
+                rows = materialize(joined.withColumn("w", scaled).drop("n"), f"{folder}/rake-{turn}-{k}-{d}")
+        return rows
+
+    rows = converged(rows, sweeps, folder)
     rows = rows.withColumn("ratio", F.try_divide("w", "share"))
     factor, capped = 0.0, -1.0
     while True:
@@ -131,39 +204,50 @@ def many_probabilities(cells: DataFrame, keep_share: float, folder: str, powers:
     return rows.select(*DIMENSIONS, F.col("w").alias("raked_share"), probability.alias("probability"))
 
 
-def fitted(slim: DataFrame, keep_share: float, folder: str, powers: dict | None = None) -> DataFrame:
-    """Probabilities by cell of slim(source, lang, topic, n_tokens), marked for broadcast if there are few."""
+def fitted(slim: DataFrame, keep_share: float, folder: str, powers: dict | None, targets: Targets | None) -> tuple[DataFrame, bool]:
+    """Probabilities by cell of slim(source, lang, topic, n_tokens), and whether they are few enough for broadcast."""
+    check_targets(targets or {})
     cells = materialize(slim.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), f"{folder}/cells")
     few = cells.count() <= CELLS
-    found = probabilities(cells.coalesce(1), keep_share, powers) if few else many_probabilities(cells, keep_share, folder, powers)
+    found = (probabilities if few else many_probabilities)(cells.coalesce(1) if few else cells, keep_share, f"{folder}/fit", powers, targets)
     found = materialize(found, f"{folder}/probabilities")
-    return F.broadcast(found) if few else found
+    discard(slim.sparkSession, f"{folder}/cells", f"{folder}/fit")
+    return found, few
 
 
-def mix(docs: DataFrame, keep_share: float = 0.5, seed: int = 7, powers: dict | None = None) -> DataFrame:
+def _with_probability(rows: DataFrame, found: tuple[DataFrame, bool]) -> DataFrame:
+    table, few = found
+    return rows.join(F.broadcast(table) if few else table, list(DIMENSIONS))
+
+
+def mix(docs: DataFrame, keep_share: float = 0.5, seed: int = 7, powers: dict | None = None, targets: Targets | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, sampled) of every row of docs(doc_id, text, lang, source, ...).
 
-    Tokens are words. A null source or lang is the value ``(none)``. Documents without words weigh
-    nothing: they go with their cell, and a cell of such documents alone has probability 0. Rows that
-    repeat a doc_id, and all without one, are drawn together. An empty table gives no rows.
+    ``targets`` gives shares by dimension and value, as ``{"lang": {"en": 0.6, "de": 0.1}}``; the values without one
+    share the rest by natural share to the dimension's power, and values that don't occur leave theirs to the others.
+
+    Tokens are words, of whole texts however long. A null source or lang is the value ``(none)``. Documents
+    without words weigh nothing: they go with their cell, and a cell of such documents alone has probability 0.
+    Rows that repeat a doc_id, and all without one, are drawn together; of cells of equal ratios the first by
+    name is taken whole first. Other columns are not read. An empty table gives no rows.
     """
     folder = workdir(docs.sparkSession, "mix")
     slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *features(docs)), f"{folder}/features")
-    found = fitted(slim, keep_share, folder, powers)
-    joined = slim.join(found, list(DIMENSIONS))
+    joined = _with_probability(slim, fitted(slim, keep_share, folder, powers, targets))
     return joined.select(
         "doc_id", *DIMENSIONS, "n_tokens", F.round("probability", 6).alias("probability"),
         (draw(seed) < F.col("probability")).alias("sampled"),
     )
 
 
-def sample_documents(docs: DataFrame, keep_share: float = 0.5, seed: int = 7, powers: dict | None = None) -> DataFrame:
-    """The sampled rows of docs with all their columns; texts are read twice and never shuffled."""
+def sample_documents(docs: DataFrame, keep_share: float = 0.5, seed: int = 7, powers: dict | None = None, targets: Targets | None = None) -> DataFrame:
+    """The sampled rows of docs with all their columns; texts are read twice and shuffled only beyond CELLS cells."""
     folder = workdir(docs.sparkSession, "mix")
     slim = materialize(docs.select(*features(docs)), f"{folder}/features")
-    found = fitted(slim, keep_share, folder, powers)
+    found = fitted(slim, keep_share, folder, powers, targets)
+    discard(docs.sparkSession, f"{folder}/features")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id"), *features(docs))
-    return rows.join(found, list(DIMENSIONS)).filter(draw(seed) < F.col("probability")).select("row.*")
+    return _with_probability(rows, found).filter(draw(seed) < F.col("probability")).select("row.*")
 
 
 def oracle(keep_share: float = 0.5, seed: int = 7) -> str:
