@@ -197,24 +197,30 @@ def _predict(model):
                     pa.array(score),
                     pa.array(rate, mask=np.isnan(rate)),
                     pa.array(sizes, pa.int64()),
+                    batch.column(2),
                 ],
-                ["doc_id", "lang_pred", "score", "phrases_per_symbol", "n_symbols"],
+                ["doc_id", "lang_pred", "score", "phrases_per_symbol", "n_symbols", "mark"],
             )
 
     return run
 
 
-def predict_languages(docs: DataFrame, among: Column) -> DataFrame:
+def predict_languages(docs: DataFrame, among: Column, mark: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, phrases_per_symbol, n_symbols) of every row of docs(doc_id, text, lang, ...).
 
     ``among`` says which rows may be learnt from. lang_pred is a learnt language, or ``und`` with score 0
     if the text is null or has no letter, or if nothing was learnt. score is the share by which the
     second-best language costs more (1 with a single language); equal costs give the first language in
-    alphabetical order and score 0. Null doc_ids and repeated rows each come back; other columns aren't read.
+    alphabetical order and score 0. Null doc_ids and repeated rows each come back; other columns aren't read;
+    very long texts are parsed whole, in blocks; an empty table gives no rows. With ``mark``, a last column is
+    the hash (xxhash64) of the row's text, for callers that know rows by text.
     """
     spark = docs.sparkSession
     prepare(spark)
     model = spark.sparkContext.broadcast(learn(docs, among))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _predict(model), "doc_id long, lang_pred string, score double, phrases_per_symbol double, n_symbols long"
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    found = rows.mapInArrow(
+        _predict(model), "doc_id long, lang_pred string, score double, phrases_per_symbol double, n_symbols long, mark long"
     )
+    return found if mark else found.drop("mark")

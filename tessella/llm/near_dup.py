@@ -116,8 +116,9 @@ def _fingerprint(n: int, symbols: int, seed: int):
                     pa.array([x.tobytes() for x in signatures], pa.binary()),
                     pa.array(sketches, pa.int64()),
                     pa.array(parities, pa.binary()),
+                    batch.column(2),
                 ],
-                ["doc_id", "n_shingles", "digest", "signature", "sketch", "parity"],
+                ["doc_id", "n_shingles", "digest", "signature", "sketch", "parity", "mark"],
             )
 
     return run
@@ -306,7 +307,7 @@ def _mixed(placed: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, seed: int = 1, symbols: int = SYMBOLS
+    docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, seed: int = 1, symbols: int = SYMBOLS, mark: bool = False
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text, ...).
 
@@ -316,16 +317,18 @@ def near_duplicates(
     Null or wordless text: no shingles, linked with nothing. Fewer words than a shingle: the whole
     sequence is one shingle. Null doc_id: the row stays, its component_id is null and kept is true.
     Rows that repeat a doc_id each come back; if their texts differ, they are one document, linked by any
-    of them. Columns other than doc_id and text are not read. An empty table gives no rows.
+    of them. Very long texts are taken whole. Columns other than doc_id and text are not read. An empty table
+    gives no rows. With ``mark``, a last column is the hash (xxhash64) of the row's text, for callers that know
+    rows by text.
     """
     spark = docs.sparkSession
     prepare(spark)
     work = workdir(spark, "near-dup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = materialize(
-        texts.mapInArrow(
+        texts.withColumn("mark", F.xxhash64("text")).mapInArrow(
             _fingerprint(words_per_shingle, symbols, seed),
-            "doc_id long, n_shingles long, digest binary, signature binary, sketch long, parity binary",
+            "doc_id long, n_shingles long, digest binary, signature binary, sketch long, parity binary, mark long",
         ),
         f"{work}/prints",
     )
@@ -366,7 +369,7 @@ def near_duplicates(
     component = connected_components(firm.union(same).union(more), f"{work}/second")
     own = nodes.select("digest", "node").join(component, "node", "left")
     own = materialize(own.select("digest", F.coalesce("component", "node").alias("component_id")), f"{work}/classes")
-    slim = prints.select("doc_id", "n_shingles", "digest")
+    slim = prints.select("doc_id", "n_shingles", "digest", "mark")
     rows = join_hot(slim.filter("digest is not null"), own, "digest", F.col("doc_id"), f"{work}/hot-rows", "left")
     rows = rows.unionByName(slim.filter("digest is null").withColumn("component_id", F.lit(None).cast("long")))
     discard(spark, *(f"{work}/{x}" for x in ("shared", "placed", "mixed", "mixed-keys", "main", "nodes", "same", "first", "second")))
@@ -376,6 +379,7 @@ def near_duplicates(
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), found).alias("component_id"),
         F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"),
+        *(["mark"] if mark else []),
     )
 
 
