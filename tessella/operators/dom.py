@@ -19,12 +19,14 @@ from bisect import bisect_left
 from collections import Counter
 from html.parser import HTMLParser
 from math import sqrt
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
+from .token_tree import TREE_NUMBERS, TokenTree, display_code, display_value
 
 VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr basefont bgsound command frame image isindex nextid spacer".split())
 #: Elements whose strings are of a kind of their own.
@@ -125,24 +127,69 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-#: What ``measure`` finds below and above an element.
-BELOW = (
-    "n_child_tags", "n_nodes", "n_tags", "n_links", "n_images", "n_buttons", "n_strings", "n_digit_strings", "height",
-    "vis_chars", "vis_strings", "vis_periods", "vis_special", "vis_digits",
+#: What ``measure`` adds up below an element.
+SUMS = (
+    "n_nodes", "n_tags", "n_links", "n_images", "n_buttons", "n_strings", "n_digit_strings",
+    "vis_chars", "vis_strings", "vis_periods", "vis_special", "vis_digits", "vis_repeats",
 )
+#: What ``measure`` finds below and above an element.
+BELOW = (*SUMS, "n_child_tags", "height", "vis_words")
 ABOVE = ("depth", "with_class", "with_id", "divs", "sections")
 
 
+class Words(NamedTuple):
+    """The word lengths of strings put together without separators: first, last, and sums of those between.
+
+    A string of one word, and any number of such, is ``solid``: its first word is its last one.
+    """
+
+    solid: bool
+    first: int
+    last: int
+    n: int
+    chars: int
+    squares: int
+
+    @classmethod
+    def of(cls, text: str) -> Words:
+        sizes = [len(w) for w in text.split()]
+        if len(sizes) == 1:
+            return cls(True, sizes[0], sizes[0], 0, 0, 0)
+        inner = sizes[1:-1]
+        return cls(False, sizes[0], sizes[-1], len(inner), sum(inner), sum(x * x for x in inner))
+
+    def before(self, other: Words | None) -> Words:
+        """The words of this text with the other one right after it."""
+        if other is None:
+            return self
+        if self.solid and other.solid:
+            return Words(True, self.first + other.first, self.last + other.last, 0, 0, 0)
+        if self.solid:
+            return other._replace(first=self.first + other.first)
+        if other.solid:
+            return self._replace(last=self.last + other.last)
+        joint = self.last + other.first
+        return Words(False, self.first, other.last, self.n + other.n + 1, self.chars + other.chars + joint, self.squares + other.squares + joint * joint)
+
+    def moments(self) -> tuple[int, float, float]:
+        """Number, mean and population deviation of the lengths."""
+        ends = (self.first,) if self.solid else (self.first, self.last)
+        n, total, squares = self.n + len(ends), self.chars + sum(ends), self.squares + sum(x * x for x in ends)
+        return n, total / n, sqrt(n * squares - total * total) / n
+
+
 class Stats:
     __slots__ = (*BELOW, *ABOVE, "own_chars", "own_digits", "own_strings", "tag_rates", "text_rate", "rate_sum", "rate_squares")
 
     def __init__(self):
         for name in self.__slots__:
             setattr(self, name, 0)
+        self.vis_words = None
 
 
-def measure(nodes: list[Node]) -> None:
-    """Gives every element its Stats."""
+def measure(nodes: list[Node], counts: dict[str, int] | None = None) -> None:
+    """Gives every element its Stats; ``counts`` says how often the page has a string as a token."""
+    counts = counts or {}
     for node in nodes:
         if node.name is not None:
             node.stats = Stats()
@@ -160,6 +207,8 @@ def measure(nodes: list[Node]) -> None:
                 up.vis_periods += stripped.count(".")
                 up.vis_digits += digits
                 up.vis_special += _SPECIAL.subn("", stripped)[1]
+                up.vis_repeats += counts.get(stripped, 0)
+                up.vis_words = Words.of(stripped).before(up.vis_words)
             elif node.kind in CONTAINERS and stripped:
                 place = node.parent  # an element sees the strings of its own kind
                 while place is not None:
@@ -174,8 +223,10 @@ def measure(nodes: list[Node]) -> None:
             s.own_chars, s.own_digits, s.own_strings = s.vis_chars, s.vis_digits, s.vis_strings
         s.text_rate = s.own_strings / s.n_child_tags if s.n_child_tags else 0.0
         if up:
-            for name in ("n_nodes", "n_tags", "n_links", "n_images", "n_buttons", "n_strings", "n_digit_strings", "vis_chars", "vis_strings", "vis_periods", "vis_special", "vis_digits"):
+            for name in SUMS:
                 setattr(up, name, getattr(up, name) + getattr(s, name))
+            if s.vis_words is not None:
+                up.vis_words = s.vis_words.before(up.vis_words)
             up.n_child_tags += 1
             up.n_nodes += 1
             up.n_tags += 1
@@ -216,17 +267,20 @@ def visible_strings(nodes: list[Node], node: Node) -> list[str]:
     return [s for x in nodes[node.index : node.end] if x.name is None and x.kind in kinds and (s := x.text.strip())]
 
 
-#: Numbers of a token's element (node_), its parent (block_) and others, as the parse stage gives them.
-NUMBERS = (
+#: Numbers of a token's element, of its parent (block_), and of its place and page, as the parse stage gives them.
+NODE_NUMBERS = (
     "depth", "anc_with_class", "anc_with_id", "anc_div", "anc_section", "n_child_tags", "n_nodes", "height", "n_siblings",
     "sibling_index", "siblings_with_text", "sibling_chars", "sibling_names", "has_style", "style_properties", "font_size",
     "margin_top", "display_code", "parent_child_tags", "digit_children", "digit_strings", "links", "buttons", "n_classes",
     "class_chars", "id_chars", "is_link", "href_depth", "title_class", "anc_text_variance", "anc_tag_rate", "n_strings", "n_tags",
-    "images", "other_sibling_chars", "other_sibling_tags", "has_parent", "block_child_tags", "block_depth", "block_strings",
-    "block_chars", "block_tags", "block_height", "block_periods", "block_words", "block_word_mean", "block_word_std",
-    "block_special", "block_digits", "outer_chars", "outer_tags", "block_size", "block_gap", "block_repeats", "path_length", "vocabulary",
-    "block_structure", "style_parts", "sibling_count",
+    "images", "other_sibling_chars", "other_sibling_tags", "has_parent", "path_length",
+)
+BLOCK_NUMBERS = (
+    "block_child_tags", "block_depth", "block_strings", "block_chars", "block_tags", "block_height", "block_periods", "block_words",
+    "block_word_mean", "block_word_std", "block_special", "block_digits", "outer_chars", "outer_tags", "block_size", "block_repeats",
 )
+PLACE_NUMBERS = ("block_gap", "vocabulary")
+NUMBERS = (*NODE_NUMBERS, *BLOCK_NUMBERS, *PLACE_NUMBERS)
 
 
 def _style_number(style: str, name: str) -> float | None:
@@ -245,56 +299,58 @@ def _style_number(style: str, name: str) -> float | None:
     return 0.0
 
 
-def _display(style: str) -> float:
-    for part in style.split(";"):
-        name, colon, value = part.partition(":")
-        if colon and name.strip().endswith("display"):
-            return {"none": 0.0, "block": 1.0, "inline": 2.0}.get(value.strip(), 3.0)
-    return 3.0
-
-
 class PageTokens:
-    """Token rows of one page."""
+    """Token rows of one page, with the numbers asked for; the tree is only measured if there are any."""
 
-    def __init__(self, html: str):
-        self.nodes = parse(html)
-        measure(self.nodes)
-        self.ids = structure_ids(self.nodes)
+    def __init__(self, html: str, numbers: tuple[str, ...] = NUMBERS):
+        self.nodes, self.numbers = parse(html), numbers
         self.tokens = [
             (text, x.parent) for x in self.nodes if x.name is None and (text := x.text.strip()) and len(text) <= MAX_TOKEN_CHARS
         ]
+        if not numbers:
+            return
         self.counts = Counter(text for text, _ in self.tokens)
+        measure(self.nodes, self.counts)
+        self.ids = structure_ids(self.nodes)
         self.vocabulary = len({w.lower() for text in self.counts for w in text.split()})
         self.places: dict[int, list[int]] = {}
         for k, (_, node) in enumerate(self.tokens):
             self.places.setdefault(self.ids[node.index], []).append(k)
         self.of_node: dict[int, dict] = {}
-        self.of_block: dict[int, tuple[dict, list[int]]] = {}
+        self.of_block: dict[int, dict] = {}
+        self.of_structure: dict[int, list[int]] = {}
         self.of_children: dict[int, dict] = {}
 
-    def _block(self, block: Node) -> tuple[dict, list[int]]:
-        """Numbers of an element as the block of its children, and the positions of tokens in markup like theirs."""
+    def _alike(self, block: Node) -> list[int]:
+        """The positions of tokens in markup like that of the block's children."""
+        mark = self.ids[block.index]
+        if mark not in self.of_structure:
+            marks = {self.ids[x.index] for x in block.children if x.name is not None}
+            self.of_structure[mark] = sorted(k for mark in marks for k in self.places.get(mark, ()))
+        return self.of_structure[mark]
+
+    def _block(self, block: Node) -> dict:
+        """Numbers of an element as the block of its children."""
         if block.index in self.of_block:
             return self.of_block[block.index]
-        s, strings = block.stats, visible_strings(self.nodes, block)
-        joined = "".join(strings)
-        sizes = [len(w) for w in joined.split()]
-        mean = sum(sizes) / len(sizes) if sizes else 0.0
-        outer = block.parent
-        marks = {self.ids[x.index] for x in block.children if x.name is not None}
-        places = sorted(k for mark in marks for k in self.places.get(mark, ()))
-        known = [self.counts.get(x, 0) for x in strings]
-        numbers = {
-            "block_child_tags": s.n_child_tags, "block_depth": s.depth, "block_strings": len(strings),
-            "block_chars": len(joined), "block_tags": s.n_tags, "block_height": s.height + 1,
-            "block_periods": joined.count("."), "block_words": len(sizes), "block_word_mean": mean,
-            "block_word_std": sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)) if len(sizes) > 1 else 0.0,
-            "block_special": _SPECIAL.subn("", joined)[1], "block_digits": sum(map(str.isdigit, joined)),
+        s, outer = block.stats, block.parent
+        words, chars, strings, repeats = s.vis_words, s.vis_chars, s.vis_strings, s.vis_repeats
+        periods, special, digits = s.vis_periods, s.vis_special, s.vis_digits
+        if block.name in CONTAINERS:  # few: their own strings are read
+            shown = visible_strings(self.nodes, block)
+            joined = "".join(shown)
+            words = Words.of(joined) if joined else None
+            chars, strings, repeats = len(joined), len(shown), sum(self.counts.get(x, 0) for x in shown)
+            periods, special, digits = joined.count("."), _SPECIAL.subn("", joined)[1], sum(map(str.isdigit, joined))
+        n, mean, spread = words.moments() if words else (0, 0.0, 0.0)
+        self.of_block[block.index] = {
+            "block_child_tags": s.n_child_tags, "block_depth": s.depth, "block_strings": strings, "block_chars": chars,
+            "block_tags": s.n_tags, "block_height": s.height + 1, "block_periods": periods, "block_words": n,
+            "block_word_mean": mean, "block_word_std": spread, "block_special": special, "block_digits": digits,
             "outer_chars": (outer.stats.own_chars or 1) if outer else 1, "outer_tags": outer.stats.n_tags if outer else 0,
-            "block_size": len(places), "block_repeats": sum(known) / len(known) if known else 0.0,
+            "block_size": len(self._alike(block)), "block_repeats": repeats / strings if strings else 0.0,
         }
-        self.of_block[block.index] = numbers, places
-        return numbers, places
+        return self.of_block[block.index]
 
     def _children(self, parent: Node) -> dict:
         """What the child elements of an element have in common."""
@@ -325,7 +381,7 @@ class PageTokens:
             "sibling_chars": peers["chars"] / peers["n"] if peers["n"] else 0.0, "sibling_names": peers["names"],
             "has_style": float(bool(style)), "style_properties": sum(":" in x for x in style.split(";")),
             "font_size": _style_number(style, "font-size"), "margin_top": _style_number(style, "margin-top"),
-            "display_code": _display(style), "parent_child_tags": parent.stats.n_child_tags if parent else 0,
+            "display_code": display_code(display_value(style)), "parent_child_tags": parent.stats.n_child_tags if parent else 0,
             "digit_children": sum(x.stats.own_digits > 0 for x in node.children if x.name is not None),
             "digit_strings": s.n_digit_strings, "links": s.n_links, "buttons": s.n_buttons, "n_classes": len(classes),
             "class_chars": sum(map(len, classes)) / len(classes) if classes else 0.0, "id_chars": len(node.attrs.get("id", "")),
@@ -337,44 +393,54 @@ class PageTokens:
             "other_sibling_chars": (peers["chars"] - s.own_chars) / others if others > 0 else 0.0,
             "other_sibling_tags": (peers["tags"] - s.n_child_tags) / others if others > 0 else 0.0,
             "has_parent": float(parent is not None), "path_length": s.depth + 1,
-            "style_parts": sum(bool(x.strip()) for x in style.split(";")), "sibling_count": peers["n"],
-            "block_structure": self.ids[(parent or node).index],
         }
         self.of_node[node.index] = numbers
         return numbers
 
+    def _gap(self, k: int, block: Node) -> float | None:
+        """Half the distance between the neighbours of token k among its block's own; None where it isn't one of them."""
+        places = self._alike(block)
+        if not places:
+            return 0.0
+        at = bisect_left(places, k)
+        if at == len(places) or places[at] != k:
+            return None
+        before = k - places[at - 1] if at else 0
+        return (before + (places[at + 1] - k if at + 1 < len(places) else 0)) / 2
+
     def rows(self) -> list[tuple]:
-        """(position, text, tag, classes, *NUMBERS) of each token; missing numbers are None."""
-        out = []
+        """(position, text, tag, classes, *numbers) of each token; missing numbers are None."""
+        wanted, out, known = self.numbers, [], {}
+        of_tree = [x for x in wanted if x in TREE_NUMBERS]
+        tree = TokenTree(self.nodes, self.tokens, self.ids) if of_tree else None
+        groups = [bool(set(wanted) & set(group)) for group in (NODE_NUMBERS, BLOCK_NUMBERS)]
         for k, (text, node) in enumerate(self.tokens):
-            own = self._node(node)
-            block, places = self._block(node.parent or node)
-            at = bisect_left(places, k)
-            gap = None  # where the token isn't among the block's own
-            if not places:
-                gap = 0.0
-            elif at < len(places) and places[at] == k:
-                before = k - places[at - 1] if at else 0
-                gap = (before + (places[at + 1] - k if at + 1 < len(places) else 0)) / 2
-            numbers = {**own, **block, "block_gap": gap, "vocabulary": self.vocabulary}
-            if node.parent is None:  # features of the parent that an element of the document itself lacks
-                numbers |= {"block_child_tags": 0, "block_depth": 1, "block_height": 0}
-            out.append((k, text, node.name, node.classes, *(numbers[x] for x in NUMBERS)))
+            numbers = known.get(node.index)
+            if wanted and numbers is None:
+                numbers = dict(self._node(node)) if groups[0] else {}
+                if groups[1]:
+                    numbers |= self._block(node.parent or node)
+                    if node.parent is None:  # features of the parent that an element of the document itself lacks
+                        numbers |= {"block_child_tags": 0, "block_depth": 1, "block_height": 0}
+                if tree:
+                    numbers |= tree.numbers(node)
+                numbers["vocabulary"] = self.vocabulary
+                known[node.index] = numbers
+            if "block_gap" in wanted:
+                numbers["block_gap"] = self._gap(k, node.parent or node)
+            out.append((k, text, node.name, node.classes, *[numbers[x] for x in wanted]))
         return out
 
 
-TOKEN_ROW = "page_id {id}, position long, text string, tag string, classes array<string>, " + ", ".join(f"{x} double" for x in NUMBERS) + ", error string"
-
-
-def _rows(id_type: pa.DataType):
+def _rows(id_type: pa.DataType, numbers: tuple[str, ...]):
     def run(batches):
-        names = ["page_id", "position", "text", "tag", "classes", *NUMBERS, "error"]
-        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), *[pa.float64()] * len(NUMBERS), pa.string()]
+        names = ["page_id", "position", "text", "tag", "classes", *numbers, "error"]
+        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), *[pa.float64()] * len(numbers), pa.string()]
         for batch in batches:
             rows = []
             for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(page_id, *row, None) for row in PageTokens(html or "").rows()]
+                    rows += [(page_id, *row, None) for row in PageTokens(html or "", numbers).rows()]
                 except Exception as e:  # a page that can't be parsed gives one row that says why
                     rows.append((page_id, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -383,43 +449,55 @@ def _rows(id_type: pa.DataType):
     return run
 
 
-def parsed_tokens(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
-    """Token rows of all pages with every number of NUMBERS; a page that fails gives one row with its error.
+def parsed_tokens(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", numbers: tuple[str, ...] = NUMBERS) -> DataFrame:
+    """Token rows of all pages with the numbers asked for, of NUMBERS and TREE_NUMBERS.
 
-    A null or empty page has no tokens. Pages are never shuffled or gathered.
+    A page that fails gives one row with its error; a null or empty page has no tokens. The optimiser can't
+    look into the parse stage, so callers name the numbers they need, and the rest isn't computed. Pages are
+    only dealt anew where a small table has fewer files than there are cores.
     """
     ship(pages.sparkSession)
+    if unknown := set(numbers) - set(NUMBERS) - set(TREE_NUMBERS):
+        raise ValueError(f"unknown numbers {sorted(unknown)}")
     source = pages.select(F.col(id_column).alias("page_id"), F.col(html_column).cast("string").alias("html"))
     kind, arrow = ("string", pa.string()) if dict(source.dtypes)["page_id"] == "string" else ("long", pa.int64())
-    source = source.withColumn("page_id", F.col("page_id").cast(kind))
-    return source.mapInArrow(_rows(arrow), TOKEN_ROW.format(id=kind))
+    source = spread(source.withColumn("page_id", F.col("page_id").cast(kind)))
+    columns = [f"page_id {kind}, position long, text string, tag string, classes array<string>", *[f"{x} double" for x in numbers], "error string"]
+    return source.mapInArrow(_rows(arrow, tuple(numbers)), ", ".join(columns))
 
 
 def _node_rows(batches):
-    names = ["page_id", "node_id", "parent_id", "kind", "name", "text", "attrs", "depth", "n_child_tags", "n_descendants", "height", "structure"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), *[pa.int64()] * 5]
+    names = ["page_id", "node_id", "parent_id", "kind", "name", "text", "attrs", "depth", "n_child_tags", "n_descendants", "height", "structure", "error"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), *[pa.int64()] * 5, pa.string()]
     for batch in batches:
         rows = []
         for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            nodes = parse(html or "")
-            measure(nodes)
-            ids = structure_ids(nodes)
-            for x in nodes:
-                s = x.stats
-                rows.append((
-                    page_id, x.index, x.parent.index if x.parent else None, x.kind, x.name, None if x.name is not None else x.text,
-                    list((x.attrs or {}).items()), s.depth if s else None, s.n_child_tags if s else None, s.n_nodes if s else None,
-                    s.height if s else None, ids[x.index],
-                ))
+            try:
+                nodes = parse(html or "")
+                measure(nodes)
+                ids = structure_ids(nodes)
+                for x in nodes:
+                    s = x.stats
+                    rows.append((
+                        page_id, x.index, x.parent.index if x.parent else None, x.kind, x.name, None if x.name is not None else x.text,
+                        list((x.attrs or {}).items()), s.depth if s else None, s.n_child_tags if s else None, s.n_nodes if s else None,
+                        s.height if s else None, ids[x.index], None,
+                    ))
+            except Exception as e:
+                rows.append((page_id, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"))
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def dom_nodes(pages: DataFrame) -> DataFrame:
-    """All nodes of all pages(page_id, html); ``structure`` is equal for equal markup within a page."""
+    """All nodes of all pages(page_id, html); ``structure`` is equal for equal markup within a page.
+
+    A page that fails gives one row with its error.
+    """
     ship(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    return spread(source).mapInArrow(
         _node_rows,
         "page_id long, node_id long, parent_id long, kind string, name string, text string, attrs map<string,string>,"
-        " depth long, n_child_tags long, n_descendants long, height long, structure long",
+        " depth long, n_child_tags long, n_descendants long, height long, structure long, error string",
     )

@@ -34,7 +34,7 @@ def page_features(rows: DataFrame, page: str = "page_id", order: str = "position
             "words_spread": F.coalesce(F.stddev_samp("n_words").over(whole), F.lit(1.0)),
             "length_zscore": zscore("length", whole),
             "n_words_zscore": zscore("n_words", whole),
-            "normalized_token_length": share(F.col("length"), F.avg("length").over(whole)),
+            "normalized_token_length": share(F.col("length") * F.count("*").over(whole), F.sum("length").over(whole)),
         }
     )
     rows = rows.withColumns(

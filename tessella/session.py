@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -37,3 +37,19 @@ def ship(spark: SparkSession) -> None:
             out.write(path, f"{root.name}/{path.relative_to(root)}")
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores, where they come from files too few and too small to occupy them; else as they are."""
+    if rows.isStreaming:
+        return rows
+    spark, context = rows.sparkSession, rows.sparkSession.sparkContext
+    cores, files = context.defaultParallelism, rows.inputFiles()
+    if not files or len(files) >= cores:
+        return rows
+    size = 0
+    for file in files:
+        path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(file))
+        size += path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    split = context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return rows if size >= cores * split else rows.repartition(cores)
