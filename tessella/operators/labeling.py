@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import ship
+from ..session import ship, spread
 from .dom import parse, visible_strings
 
 #: Class names of listing cards and their parts.
@@ -46,25 +46,33 @@ def rule_label(text: Column, rules=LABEL_RULES, default: str = DEFAULT_LABEL) ->
     return out.otherwise(default)
 
 
+def _found(html: str) -> list[tuple[str, str]]:
+    """(kind, text) of the prices, titles and items of the cards of a page."""
+    nodes, found = parse(html), []
+    for card in nodes:
+        if card.name == "div" and CARD_CLASS in card.classes:
+            inner = [x for x in nodes[card.index + 1 : card.end] if x.name is not None]
+            for kind, wanted in (("price", PRICE_CLASS), ("title", TITLE_CLASS), ("item", ITEM_CLASS)):
+                if kind == "title":
+                    hits = [x for x in inner if x.name == "a" and wanted in x.classes][:1]
+                else:
+                    hits = [x for x in inner if x.name == "span" and _below(x, card, wanted)]
+                    hits = hits[:1] if kind == "price" else hits
+                found += [(kind, "".join(visible_strings(nodes, x))) for x in hits]
+    return found
+
+
 def _cards(batches):
     for batch in batches:
         rows = []
         for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            nodes, found = parse(html or ""), []
-            for card in nodes:
-                if card.name == "div" and CARD_CLASS in card.classes:
-                    inner = [x for x in nodes[card.index + 1 : card.end] if x.name is not None]
-                    for kind, wanted in (("price", PRICE_CLASS), ("title", TITLE_CLASS), ("item", ITEM_CLASS)):
-                        if kind == "title":
-                            hits = [x for x in inner if x.name == "a" and wanted in x.classes][:1]
-                        else:
-                            hits = [x for x in inner if x.name == "span" and _below(x, card, wanted)]
-                            hits = hits[:1] if kind == "price" else hits
-                        found += [(kind, "".join(visible_strings(nodes, x))) for x in hits]
-            rows += [(page_id, k, kind, text) for k, (kind, text) in enumerate(found)]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "place", "kind", "text"])
+            try:
+                rows += [(page_id, k, kind, text, None) for k, (kind, text) in enumerate(_found(html or ""))]
+            except Exception as e:  # a page that can't be read gives one row that says why
+                rows.append((page_id, None, None, None, f"{type(e).__name__}: {e}"))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "place", "kind", "text", "error"])
 
 
 def _below(node, card, wanted: str) -> bool:
@@ -77,12 +85,16 @@ def _below(node, card, wanted: str) -> bool:
     return False
 
 
-def card_labels(pages: DataFrame) -> DataFrame:
-    """(page_id, place, token, label) of every price, title and item of the listing cards of pages(page_id, html)."""
+def card_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, place, kind, text, error) of the parts of the listing cards of pages(page_id, html); a page that fails gives a row with its error."""
     ship(pages.sparkSession)
-    found = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(
-        _cards, "page_id long, place long, kind string, text string"
-    )
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    return spread(source).mapInArrow(_cards, "page_id long, place long, kind string, text string, error string")
+
+
+def card_labels(pages: DataFrame) -> DataFrame:
+    """(page_id, place, token, label) of every price, title and item of the listing cards; pages that fail are left out."""
+    found = card_rows(pages).filter("error is null")
     squashed = F.regexp_replace("text", f"(?U){SQUASHED}", " ")
     return found.select(
         "page_id",

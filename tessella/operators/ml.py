@@ -1,17 +1,25 @@
-"""Feature selection, training and scoring with pyspark.ml."""
+"""Feature selection, training and scoring with pyspark.ml.
+
+What is fitted more than once is expected to be a table already written: nothing is cached here.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 from pyspark.sql.types import AtomicType
 
 from .analysis import class_weights, importance_topk, rare_class_filter
 from .evaluate import macro_f1
 
+#: Rows of a class that one task puts in order for a split.
+CLASS_ROWS = 100_000
+
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     """rows with a vector column ``features``; nulls count as 0."""
@@ -19,19 +27,50 @@ def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
 
 
+def _draw(rows: DataFrame, seed: int) -> Column:
+    """A number from the row's values, the same in every run."""
+    return F.xxhash64(F.lit(seed), *[f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType)])
+
+
 def stratified_split(rows: DataFrame, label: str = "label", part: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows; each class gives its part, by a hash of the row's values."""
-    hashed = [f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType)]
-    draw = F.pmod(F.xxhash64(F.lit(seed), *hashed), F.lit(1_000_000)) / 1_000_000
-    return rows.filter(draw >= part), rows.filter(draw < part)
+    """Training and test rows; each class gives its part, to the row.
+
+    A class of two rows or more has one on either side at least, one of a single row is trained on. Rows are
+    put in order by a hash of their values, and equal rows count one by one. Large classes are cut into
+    groups of about CLASS_ROWS rows first, of which each gives its part.
+    """
+    names = rows.columns
+    groups = rows.groupBy(F.col(label).alias("_label")).agg(F.ceil(F.count("*") / CLASS_ROWS).cast("int").alias("_groups"))
+    found = rows.withColumn("_draw", _draw(rows, seed)).join(F.broadcast(groups), F.col(label).eqNullSafe(F.col("_label")))
+    found = found.withColumn("_group", F.pmod(F.xxhash64("_draw"), F.col("_groups")))
+    own = W.Window.partitionBy("_label", "_group")
+    n = F.count("*").over(own)
+    wanted = F.when(n < 2, 0).otherwise(F.least(n - 1, F.greatest(F.lit(1), F.round(part * n))))
+    found = found.withColumn("_test", F.row_number().over(own.orderBy("_draw")) <= wanted)
+    return found.filter("not _test").select(names), found.filter("_test").select(names)
+
+
+def balanced(rows: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
+    """As many rows as there are, drawn so that every class is expected to give the same number.
+
+    A row of a class of n among N rows and C classes comes N / (C n) times: so many whole times, and once more
+    with the probability that is left, by a hash of its values.
+    """
+    weights = class_weights(rows, label).select(F.col("label").alias("_label"), F.col("sample_weight").alias("_weight"))
+    total = weights.agg(F.sum(1 / F.col("_weight")).alias("_total"), F.count("*").alias("_classes"))
+    weights = weights.join(F.broadcast(total)).select("_label", (F.col("_total") / F.col("_classes") * F.col("_weight")).alias("_times"))
+    found = rows.withColumn("_draw", F.pmod(_draw(rows, seed + 1), F.lit(1 << 20)) / (1 << 20))
+    found = found.join(F.broadcast(weights), F.col(label) == F.col("_label"))
+    times = (F.floor("_times") + (F.col("_draw") < F.col("_times") - F.floor("_times")).cast("long")).cast("int")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).filter("_copy > 0").select(rows.columns)
 
 
-def forest_importances(rows: DataFrame, features: list[str], label: str = "label", trees: int = 100, seed: int = 42, least: int = 2) -> DataFrame:
+def forest_importances(rows: DataFrame, features: list[str], label: str = "label", trees: int = 100, seed: int = 42, least: int = 2, depth: int = 30) -> DataFrame:
     """(feature, importance) of a random forest on a stratified 80 % of the classes with ``least`` rows or more."""
     kept = rare_class_filter(rows, least, label)
     train, _ = stratified_split(kept, label, 0.2, seed)
     indexed = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc").fit(kept).transform(train)
-    model = RandomForestClassifier(labelCol="label_id", numTrees=trees, seed=seed, maxDepth=10).fit(assemble(indexed, features))
+    model = RandomForestClassifier(labelCol="label_id", numTrees=trees, seed=seed, maxDepth=depth).fit(assemble(indexed, features))
     values = model.featureImportances.toArray()
     return rows.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, values, strict=True)], "feature string, importance double")
 
@@ -41,35 +80,61 @@ def select_features(rows: DataFrame, features: list[str], label: str = "label",
     return importance_topk(forest_importances(rows, features, label, **options), share)
 
 
+def _scores(model: PipelineModel, held: DataFrame, label: str) -> tuple[float, float]:
+    """Loss and macro F1 on held-out rows."""
+    scored = model.transform(held).filter(F.col(label).isNotNull())
+    own = F.get(vector_to_array("probability"), F.col("label_id").cast("int"))
+    loss = scored.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-15)))).alias("x")).first().x
+    score = macro_f1(scored, label, "predicted_label").first()
+    return float(loss or 0.0), float(score.macro_f1 or 0.0) if score else 0.0
+
+
 def train_classifier(
-    rows: DataFrame, features: list[str], label: str = "label", kind: str = "perceptron", hidden: int = 64, part: float = 0.2,
-    seed: int = 42, rounds: tuple[int, ...] = (20, 50, 100), weighted: bool = True,
+    rows: DataFrame, features: list[str], label: str = "label", kind: str = "perceptron", hidden: int = 64, part: float = 0.2, seed: int = 42,
+    epochs: int = 50, step: int = 10, patience: int = 3, weighted: bool = True, decay: float = 0.0, rate: float | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
-    """The model of best macro F1 on held-out rows, and (rounds, val_f1_macro) of all that were tried.
+    """The model of best macro F1 on held-out rows, and (epoch, train_loss, val_loss, val_f1_macro) of all that were tried.
 
-    Each token is scored by itself. ``perceptron`` has one hidden layer; ``logistic`` uses class weights.
+    Training goes on from the last weights, ``step`` epochs at a time, until ``epochs`` are done or the score hasn't
+    grown for ``patience`` turns. Each token is scored by itself. With ``weighted``, classes weigh alike:
+    ``perceptron`` (one hidden layer) is trained on ``balanced`` rows, ``logistic`` by the weights of ``class_weights``;
+    the latter begins anew at each turn and has the penalty ``decay``. A ``rate`` makes the perceptron descend by
+    gradients of that rate, which is halved each time the score doesn't grow; without one it is L-BFGS.
     """
-    train, held = stratified_split(rows, label, part, seed)
+    train, held = stratified_split(rows.na.fill(0.0, features), label, part, seed)
     indexer = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
     names = indexer.labels
     if weighted and kind == "logistic":
         weights = class_weights(train, label).select(F.col("label").alias(label), F.col("loss_weight").alias("weight"))
         train = train.join(F.broadcast(weights), label)
-    best, history = None, []
-    for n in rounds:
+    elif weighted:
+        train = balanced(train, label, seed)
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=[*names, "O"])
+    ready = assembler.transform(indexer.transform(train))
+    best, history, start, waited = None, [], None, 0
+    for epoch in range(step, epochs + 1, step):
         if kind == "logistic":
-            estimator = LogisticRegression(labelCol="label_id", maxIter=n, weightCol="weight" if weighted else None)
+            estimator = LogisticRegression(labelCol="label_id", maxIter=epoch, regParam=decay, weightCol="weight" if weighted else None)
+        else:
+            estimator = MultilayerPerceptronClassifier(labelCol="label_id", layers=[len(features), hidden, len(names) + 1], maxIter=step, seed=seed)
+            if rate:
+                estimator.setSolver("gd").setStepSize(rate)
+            if start is not None:
+                estimator.setInitialWeights(start)
+        fitted = estimator.fit(ready)
+        start = fitted.weights if kind != "logistic" else None
+        losses = fitted.summary().objectiveHistory if kind != "logistic" else fitted.summary.objectiveHistory
+        model = PipelineModel(stages=[indexer, assembler, fitted, back])
+        loss, score = _scores(model, held, label)
+        history.append((epoch, float(losses[-1]) if losses else None, loss, score))
+        if best is None or score > best[0]:
+            best, waited = (score, model), 0
         else:
-            estimator = MultilayerPerceptronClassifier(labelCol="label_id", layers=[len(features), hidden, len(names) + 1], maxIter=n, seed=seed)
-        back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=[*names, "O"])
-        steps = [indexer, VectorAssembler(inputCols=features, outputCol="features"), estimator, back]
-        model = Pipeline(stages=steps).fit(train.na.fill(0.0, features))
-        scored = model.transform(held.na.fill(0.0, features))
-        score = macro_f1(scored.filter(F.col(label).isNotNull()), label, "predicted_label").first()
-        history.append((n, float(score.macro_f1 or 0.0) if score else 0.0))
-        if best is None or history[-1][1] > best[0]:
-            best = (history[-1][1], model)
-    return best[1], rows.sparkSession.createDataFrame(history, "rounds int, val_f1_macro double")
+            waited, rate = waited + 1, rate and rate / 2
+            if waited == patience:
+                break
+    return best[1], rows.sparkSession.createDataFrame(history, "epoch int, train_loss double, val_loss double, val_f1_macro double")
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:

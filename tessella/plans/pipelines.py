@@ -47,7 +47,7 @@ def save_tokens(spark: SparkSession, rows: DataFrame, json_path: str, csv_path:
     if csv_path:
         write_csv(saved, csv_path)
     if keys_path:
-        write_artifact([c for c in feature_keys(rows) if c in FEATURES], keys_path)
+        write_artifact(spark, [c for c in feature_keys(rows) if c in FEATURES], keys_path)
     return saved
 
 
@@ -67,7 +67,7 @@ def label(spark: SparkSession, rows: DataFrame, html_folder: str, json_path: str
 @step("select_features")
 def select(spark: SparkSession, rows: DataFrame, path: str, trees: int = 100) -> DataFrame:
     chosen = select_features(rows, list(FEATURES), trees=trees)
-    write_artifact([r.feature for r in chosen.orderBy(F.desc("importance"), "feature").collect()], path)
+    write_artifact(spark, [r.feature for r in chosen.orderBy(F.desc("importance"), "feature").collect()], path)
     return rows
 
 
@@ -81,7 +81,7 @@ def analyse(spark: SparkSession, rows: DataFrame, tokens_path: str, distribution
 
 @step("train")
 def train(spark: SparkSession, rows: DataFrame, model_path: str, history_path: str, features_path: str | None = None, kind: str = "perceptron") -> DataFrame:
-    features = read_artifact(features_path) if features_path else list(FEATURES)
+    features = read_artifact(spark, features_path) if features_path else list(FEATURES)
     model, history = train_classifier(rows, features, kind=kind)
     model.write().overwrite().save(model_path)
     write_csv(history, history_path)
@@ -90,7 +90,7 @@ def train(spark: SparkSession, rows: DataFrame, model_path: str, history_path: s
 
 @step("predict")
 def predict_tokens(spark: SparkSession, rows: DataFrame, model_path: str, folder: str, features_path: str | None = None) -> DataFrame:
-    features = read_artifact(features_path) if features_path else list(FEATURES)
+    features = read_artifact(spark, features_path) if features_path else list(FEATURES)
     scored = predict(PipelineModel.load(model_path), rows, features)
     write_predictions(scored, folder)
     return scored

@@ -6,6 +6,7 @@ text between the tags of pages, and the events of users.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,10 @@ from pyspark.sql import window as W
 from .functions.text import char_entropy, text_features, word_list
 from .operators import analysis, evaluate, fast, labeling, ml, windows
 from .operators.dom import dom_nodes, parsed_tokens
-from .operators.features import page_token_features
+from .operators.features import FEATURES, page_token_features
 from .operators.normalize import fit_normalizer, transform_normalizer
+from .session import shared_dir, spread
+from .sources.readers import read_metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder, for what is read more than once."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def rounded(rows: DataFrame, *columns: str) -> list[Column]:
     return [F.round(F.col(c).cast("double"), 6).alias(c) for c in columns]
 
@@ -45,7 +55,7 @@ def rounded(rows: DataFrame, *columns: str) -> list[Column]:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, position, text) of the lines of documents of 1 to 500 characters."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
     return rows.filter(F.length("text").between(1, 500)).withColumn("position", F.col("position").cast("long"))
 
@@ -55,9 +65,22 @@ LINES = """lines AS (SELECT page_id, position, text FROM (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE length(text) BETWEEN 1 AND 500)"""
 
 
-@query(f"WITH {LINES} SELECT * FROM lines")
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id AS page_id, i, regexp_replace(regexp_replace(ls[i], '^{_BLANK}', ''), '{_BLANK}$', '') AS text
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS BIGINT) AS position, text, 'p' AS tag FROM s WHERE length(text) BETWEEN 1 AND 500"""
+)
 def token_scan(spark, sf_dir):
-    return lines(spark, sf_dir)
+    """Tokens that the parse stage finds in documents whose lines are marked up as paragraphs."""
+    text = F.col("text")
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    html = F.concat(F.lit("<p>"), F.replace(text, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return parsed_tokens(pages, numbers=()).select("page_id", "position", "text", "tag")
 
 
 def _texts(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
@@ -161,14 +184,16 @@ p AS (SELECT *, CAST(len(ws) AS DOUBLE) AS n_words, count(*) OVER w AS total, ma
     f"""WITH {_PAGED} SELECT page_id, position,
   round(coalesce((length - avg(length) OVER w) / nullif(coalesce(stddev_samp(length) OVER w, 1), 0), 0), 6) + 0.0 AS length_zscore,
   round(coalesce((n_words - avg(n_words) OVER w) / nullif(coalesce(stddev_samp(n_words) OVER w, 1), 0), 0), 6) + 0.0 AS n_words_zscore,
-  round(length / avg(length) OVER w, 6) AS normalized_token_length, round(length / sum(length) OVER w, 6) AS block_text_length_ratio
+  floor(length * count(*) OVER w / sum(length) OVER w * 1e6 + 0.5) / 1e6 AS normalized_token_length,
+  floor(length / sum(length) OVER w * 1e6 + 0.5) / 1e6 AS block_text_length_ratio
 FROM p WINDOW w AS (PARTITION BY page_id)"""
 )
 def page_zscore(spark, sf_dir):
+    """Ratios of whole numbers are the same number in both engines, and are rounded by the same operations."""
     rows = _paged(spark, sf_dir)
-    return rows.select(
-        "page_id", "position", *[(F.round(c, 6) + 0.0).alias(c) for c in ("length_zscore", "n_words_zscore", "normalized_token_length", "block_text_length_ratio")]
-    )
+    scores = [(F.round(c, 6) + 0.0).alias(c) for c in ("length_zscore", "n_words_zscore")]
+    ratios = [(F.floor(F.col(c) * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)).alias(c) for c in ("normalized_token_length", "block_text_length_ratio")]
+    return rows.select("page_id", "position", *scores, *ratios)
 
 
 @query(
@@ -341,7 +366,7 @@ def fast_pair_distance(spark, sf_dir):
 
 @query()
 def html_tokens(spark, sf_dir):
-    return parsed_tokens(table(spark, sf_dir, "pages")).select("page_id", "position", "text", "tag", "error")
+    return parsed_tokens(table(spark, sf_dir, "pages"), numbers=()).select("page_id", "position", "text", "tag", "error")
 
 
 @query(
@@ -431,14 +456,28 @@ def label_rules(spark, sf_dir):
     return lines(spark, sf_dir).select("page_id", "position", labeling.rule_label(F.col("text"), _RULES).alias("label"))
 
 
+def _words_of(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select("*", F.posexplode(word_list(F.col("text"))).alias("place", "token")).withColumnRenamed(key, "page_id")
+
+
+_WORDS = """string_split_regex(text, '[\\s\\x0b]+')"""
+
+
 @query(
-    f"""WITH {LINES}, f AS (SELECT lower(trim(text)) AS key, arg_max({_RULES_SQL}, page_id * 1000000 + position) AS label FROM lines WHERE position % 3 = 0 GROUP BY 1)
-SELECT l.page_id, l.position, coalesce(f.label, 'O') AS label FROM lines l LEFT JOIN f ON lower(trim(l.text)) = f.key"""
+    f"""WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, list_filter({_WORDS}, lambda x: x <> '') AS ws FROM documents),
+k AS (SELECT doc_id, lang, unnest(ws) AS token, unnest(range(len(ws))) AS place FROM d),
+f AS (SELECT lower(token) AS key, arg_max(lang, doc_id * 10000000 + place) AS label FROM k GROUP BY 1),
+c AS (SELECT conv_id, turn, role, list_filter({_WORDS}, lambda x: x <> '') AS ws FROM conversations),
+t AS (SELECT conv_id, turn, role, unnest(ws) AS token, CAST(unnest(range(len(ws))) AS BIGINT) AS place FROM c)
+SELECT conv_id, turn, role, place, coalesce(f.label, 'O') AS label FROM t LEFT JOIN f ON lower(t.token) = f.key"""
 )
 def label_join(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    known = rows.filter("position % 3 = 0").select("page_id", "position", F.col("text").alias("token"), labeling.rule_label(F.col("text"), _RULES).alias("label"))
-    return labeling.label_tokens(rows, labeling.label_map(known, "page_id", "position")).select("page_id", "position", "label")
+    """Every word of every conversation, labelled with the language of the last document that has it."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("label")))
+    known = _words_of(docs, "doc_id").select("page_id", "place", "token", "label")
+    words = _words_of(table(spark, sf_dir, "conversations"), "conv_id").select("page_id", "turn", "role", F.col("place").cast("long").alias("place"), F.col("token").alias("text"))
+    found = labeling.label_tokens(words, labeling.label_map(known, "page_id", "place"))
+    return found.select(F.col("page_id").alias("conv_id"), "turn", "role", "place", "label")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,14 +536,20 @@ def feature_quantiles(spark, sf_dir):
     return analysis.feature_quantiles(_labelled(spark, sf_dir), ["length", "n_digits"])
 
 
+_TURNS = f"o AS (SELECT {_RULES_SQL} AS label, CAST(length(text) AS DOUBLE) AS length, CAST(len(regexp_extract_all(text, '[0-9]')) AS DOUBLE) AS n_digits FROM conversations)"
+
+
 @query(
-    f"""WITH {_LABELLED}, r1 AS (SELECT * FROM r WHERE page_id % 2 = 1), r0 AS (SELECT * FROM r WHERE page_id % 2 = 0),
-a AS ({_STATS.format(rows='r1')}), b AS ({_STATS.format(rows='r0')})
+    f"""WITH {_LABELLED}, {_TURNS}, a AS ({_STATS.format(rows='r')}), b AS ({_STATS.format(rows='o')})
 SELECT feature, label, a.count AS count_new, b.count AS count_old, round(a.mean - b.mean, 6) + 0.0 AS delta_mean FROM a JOIN b USING (feature, label)"""
 )
 def stats_delta_join(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    new, old = (analysis.feature_stats(rows.filter(F.col("page_id") % 2 == k), ["length", "n_digits"]) for k in (1, 0))
+    """Statistics of all lines of documents against those of all turns of conversations."""
+    turns = table(spark, sf_dir, "conversations").select(
+        labeling.rule_label(F.col("text"), _RULES).alias("label"), F.length("text").cast("double").alias("length"),
+        F.regexp_count("text", F.lit("[0-9]")).cast("double").alias("n_digits"),
+    )
+    new, old = (analysis.feature_stats(rows, ["length", "n_digits"]) for rows in (_labelled(spark, sf_dir), turns))
     found = analysis.stats_drift(new, old)
     return found.select("feature", "label", "count_new", "count_old", (F.round("delta_mean", 6) + 0.0).alias("delta_mean"))
 
@@ -554,29 +599,48 @@ def confusion_matrix(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LINES}, p AS (SELECT trim(text) AS key, arg_max(CASE WHEN length(text) > 200 THEN 'LONG' END, page_id * 1000000 + position) FILTER (page_id % 3 > 0) AS label
-  FROM lines GROUP BY 1)
+    f"""WITH {LINES}, p AS (SELECT trim(lines.text) AS key, arg_max(CASE WHEN n_chars > 1000 THEN 'LONG' WHEN n_chars > 500 THEN 'O' END, (CASE WHEN n_chars > 500 THEN 1 ELSE NULL END) * (page_id * 1000000 + position)) AS label
+  FROM lines JOIN documents ON page_id = doc_id GROUP BY 1)
 SELECT page_id, position, t.true_label, coalesce(p.label, 'O') AS predicted_label, t.true_label = coalesce(p.label, 'O') AS correct
-FROM (SELECT *, CASE WHEN length(text) > 180 THEN 'LONG' ELSE 'O' END AS true_label FROM lines WHERE page_id % 5 = 0) t LEFT JOIN p ON trim(t.text) = p.key"""
+FROM (SELECT *, CASE WHEN length(text) > 180 THEN 'LONG' ELSE 'O' END AS true_label FROM lines) t LEFT JOIN p ON trim(t.text) = p.key"""
 )
 def error_analysis(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    order = F.col("page_id") * 1_000_000 + F.col("position")
-    found = rows.filter("page_id % 3 > 0").select("text", F.when(F.length("text") > 200, "LONG").alias("predicted_label"), order.alias("_order"))
-    found = found.filter(F.col("predicted_label").isNotNull())
-    truth = rows.filter("page_id % 5 = 0").withColumn("true_label", F.when(F.length("text") > 180, "LONG").otherwise("O"))
+    """Every line of every document, true by its own length, predicted by the length of the last document that has it."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    rows = docs.select(F.col("doc_id").alias("page_id"), "n_chars", F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    rows = rows.filter(F.length("text").between(1, 500)).withColumn("position", F.col("position").cast("long"))
+    label = F.when(F.col("n_chars") > 1000, "LONG").when(F.col("n_chars") > 500, "O")
+    order = F.when(F.col("n_chars") > 500, F.col("page_id") * 1_000_000 + F.col("position"))
+    found = rows.select("text", label.alias("predicted_label"), order.alias("_order"))
+    truth = rows.select("page_id", "position", "text", F.when(F.length("text") > 180, "LONG").otherwise("O").alias("true_label"))
     return evaluate.compare_predictions(truth, found, "_order").select("page_id", "position", "true_label", "predicted_label", "correct")
 
 
-@query(f"WITH {_JUDGED} SELECT doc_id, predicted_label FROM j WHERE predicted_label <> 'O'")
+@query(
+    f"""WITH {_JUDGED} SELECT 'complete' AS split, doc_id, predicted_label FROM j
+UNION ALL SELECT CASE WHEN predicted_label = 'O' THEN 'default' ELSE 'features' END, doc_id, predicted_label FROM j"""
+)
 def prediction_split(spark, sf_dir):
-    return evaluate.split_predictions(_judged(spark, sf_dir))["features"].select("doc_id", "predicted_label")
+    """The three parts that prediction files hold: the default class, the others, and all."""
+    parts = evaluate.split_predictions(_judged(spark, sf_dir))
+    first, *others = [rows.select(F.lit(name).alias("split"), "doc_id", "predicted_label") for name, rows in parts.items()]
+    for rows in others:
+        first = first.union(rows)
+    return first
 
 
-@query("SELECT event_type AS method, count(*) AS calls, round(avg(value), 6) AS mean FROM events WHERE event_type = 'purchase' GROUP BY 1")
+@query(
+    """SELECT event_type AS method, 200 AS status_code, CAST(event_id AS VARCHAR) AS message, CAST(floor(value) AS INTEGER) AS duration_ms
+FROM events WHERE event_type = 'purchase'"""
+)
 def metric_log_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
-    return rows.groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("calls"), F.round(F.avg("value"), 6).alias("mean"))
+    """Events as lines of a metric log, written, and read back by method."""
+    lines_of = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("method"), F.lit(200).alias("status_code"), F.floor("value").cast("int").alias("duration_ms"), F.col("event_id").cast("string").alias("message")
+    )
+    path = f"{shared_dir(spark)}/metric-log-{uuid.uuid4().hex}"
+    lines_of.write.json(path)
+    return read_metrics(spark, path, "purchase").select("method", "status_code", "message", "duration_ms")
 
 
 # ---------------------------------------------------------------- learning
@@ -595,21 +659,26 @@ def importance_topk(spark, sf_dir):
     return found.select("feature", *rounded(found, "importance", "cumulative"))
 
 
-_LEARN = ["length", "n_words", "n_digits", "n_periods", "capital_ratio", "n_parents", "is_link", "n_siblings", "char_entropy", "relative_position"]
+#: Tags that tokens are told apart by; all others are the default class.
+_TAGS = ("a", "p", "b", "h1", "li", "title")
 
 
 def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of all pages with all features, normalised, and their tag as the label."""
     rows = page_token_features(table(spark, sf_dir, "pages"))
-    return rows.select(*_LEARN, F.col("tag").alias("label")).filter(F.col("label").isin("a", "p", "b", "h1", "li", "title"))
+    label = F.when(F.col("tag").isin(*_TAGS), F.col("tag")).otherwise("O").alias("label")
+    rows = written(rows.select("page_id", "position", label, *FEATURES), "training-rows")
+    return transform_normalizer(rows, fit_normalizer(rows, list(FEATURES)))
 
 
 @query()
 def rf_importance(spark, sf_dir):
-    return ml.forest_importances(_training_rows(spark, sf_dir).cache(), _LEARN, trees=20)
+    return ml.forest_importances(_training_rows(spark, sf_dir), list(FEATURES))
 
 
 @query()
 def classifier_predict(spark, sf_dir):
-    rows = _training_rows(spark, sf_dir).cache()
-    model, _ = ml.train_classifier(rows, _LEARN, kind="logistic", rounds=(20,))
-    return evaluate.classification_report(ml.predict(model, rows, _LEARN), "label", "predicted_label")
+    """The report on rows that neither training nor the choice of the model has seen."""
+    train, test = ml.stratified_split(_training_rows(spark, sf_dir), part=0.2, seed=7)
+    model, _ = ml.train_classifier(train, list(FEATURES))
+    return evaluate.classification_report(ml.predict(model, test, list(FEATURES)), "label", "predicted_label")

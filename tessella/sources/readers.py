@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.features import FEATURES, NULL_FEATURES
+from .files import SharedFile
+from .paths import current_version
 
 PAGE_SCHEMA = T.StructType([T.StructField("filename", T.StringType()), T.StructField("content", T.StringType())])
 #: A token record: text, position, all numeric fields, and meta.
@@ -24,11 +25,12 @@ TOKEN_SCHEMA = T.StructType(
 METRIC_SCHEMA = "timestamp string, logger string, method string, status_code int, duration_ms int, duration_readable string, message string"
 
 
-def read_html(spark: SparkSession, folder: str, pattern: str = "*.html", limit: int | None = None) -> DataFrame:
-    """(filename, content) of the folder's own files, in order of their names if limited. A missing folder raises."""
+def read_html(spark: SparkSession, folder: str, pattern: str = "*.html", limit: int | None = None, ordered: bool = False) -> DataFrame:
+    """(filename, content) of the folder's own files, in order of their names if limited or asked. A missing folder raises."""
     rows = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     pages = rows.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
-    return pages.orderBy("filename").limit(limit) if limit else pages
+    pages = pages.orderBy("filename") if limit or ordered else pages
+    return pages.limit(limit) if limit else pages
 
 
 def read_tokens(spark: SparkSession, path: str, labelled: bool = False, tolerant: bool = False) -> DataFrame:
@@ -43,13 +45,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', schema=schema)
 
 
-def read_artifact(path: str | Path):
-    """A small JSON file of the driver: feature keys, selected features or label ids."""
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def read_artifact(spark: SparkSession, path):
+    """A small JSON file, or its newest version: feature keys, selected features or label ids."""
+    return json.loads(SharedFile(spark, current_version(spark, path)).read())
 
 
 def read_metrics(spark: SparkSession, path: str, method: str | None = None) -> DataFrame:
-    """Metric log lines, of one method if named."""
+    """Metric log lines of a file or folder, of one method if named."""
     rows = spark.read.schema(METRIC_SCHEMA).json(path)
     return rows.filter(F.col("method") == method) if method else rows
 

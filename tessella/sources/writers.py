@@ -5,14 +5,15 @@ from __future__ import annotations
 import functools
 import json
 import time
+import uuid
 from datetime import datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, MapType, StructType
 
 from ..operators.evaluate import split_predictions
+from .files import SharedFile
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -31,15 +32,13 @@ def feature_keys(rows: DataFrame) -> list[str]:
     return [f.name for f in rows.schema.fields if isinstance(f.dataType, DoubleType)]
 
 
-def write_artifact(value, path: str | Path) -> None:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
+def write_artifact(spark: SparkSession, value, path) -> None:
+    SharedFile(spark, path).write(json.dumps(value, ensure_ascii=False, indent=2))
 
 
-def write_label_ids(ids: DataFrame, path: str | Path) -> None:
+def write_label_ids(ids: DataFrame, path) -> None:
     """A JSON object from label to id; there is a row a class."""
-    write_artifact({r.label: r.id for r in ids.orderBy("id").collect()}, path)
+    write_artifact(ids.sparkSession, {r.label: r.id for r in ids.orderBy("id").collect()}, path)
 
 
 def write_distribution(distribution: DataFrame, path: str) -> None:
@@ -60,19 +59,29 @@ def write_truth_skeleton(rows: DataFrame, path: str) -> None:
 
 
 class MetricLog:
-    """Appends a JSON line for each call of a decorated function: status 200 or 500, and its duration."""
+    """Logs a JSON line for each call of a decorated function: status 200 or 500, and its duration.
 
-    def __init__(self, path: str | Path, logger: str = "tessella"):
-        self.path, self.logger = Path(path), logger
-        self.path.parent.mkdir(parents=True, exist_ok=True)
+    Stores of clusters don't append to files, so every ``lines`` lines make a file of their own in the folder,
+    which ``read_metrics`` reads as one table. ``close`` writes what is left.
+    """
+
+    def __init__(self, spark: SparkSession, folder, logger: str = "tessella", lines: int = 1):
+        self.spark, self.folder, self.logger, self.lines = spark, str(folder).rstrip("/"), logger, lines
+        self.waiting: list[str] = []
 
     def append(self, method: str, status: int, seconds: float, message: str = "") -> None:
         line = {
             "timestamp": datetime.now().isoformat(timespec="seconds"), "logger": self.logger, "method": method, "status_code": status,
             "duration_ms": round(1000 * seconds), "duration_readable": f"{seconds:.2f}s", "message": message,
         }
-        with self.path.open("a", encoding="utf-8") as out:
-            out.write(json.dumps(line, ensure_ascii=False) + "\n")
+        self.waiting.append(json.dumps(line, ensure_ascii=False))
+        if len(self.waiting) >= self.lines:
+            self.close()
+
+    def close(self) -> None:
+        if self.waiting:
+            SharedFile(self.spark, f"{self.folder}/{time.time_ns()}-{uuid.uuid4().hex}.json").write("\n".join(self.waiting) + "\n")
+            self.waiting = []
 
     def timed(self, function):
         @functools.wraps(function)

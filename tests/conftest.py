@@ -9,6 +9,8 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 DATA = "/root/testdata/sf0.001"
+#: Larger tables, on which rounding ties and the like are seen.
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -43,22 +45,26 @@ def canonical(frame):
     return sorted((tuple(map(value, row)) for row in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
 
 
-@pytest.fixture(scope="session")
-def duck():
+def duck_on(folder):
     import duckdb
 
     con = duckdb.connect()
-    for path in sorted(Path(DATA).glob("*.parquet")):
+    for path in sorted(Path(folder).glob("*.parquet")):
         con.execute(f"create view {path.stem} as select * from read_parquet('{path}')")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck():
+    return {folder: duck_on(folder) for folder in (DATA, LARGER)}
+
+
 @pytest.fixture
 def agree(spark, duck):
     """Asserts that a query and its SQL give the same rows."""
 
-    def check(function, sql):
-        ours, theirs = function(spark, DATA).toPandas(), duck.execute(sql).df()
+    def check(function, sql, folder=DATA):
+        ours, theirs = function(spark, folder).toPandas(), duck[folder].execute(sql).df()
         assert sorted(ours.columns) == sorted(theirs.columns)
         assert len(ours) == len(theirs)
         assert canonical(ours) == canonical(theirs)

@@ -27,6 +27,20 @@ def test_rules_in_order(spark):
     assert {r.t: r.label for r in rows.collect()} == ITEMS
 
 
+def test_a_page_that_fails_is_left_out(spark, monkeypatch):
+    from tessella.operators import labeling
+
+    def broken(html):
+        if "bad" in html:
+            raise ValueError("bad page")
+        return labeling.parse(html) and [("item", "x")]
+
+    monkeypatch.setattr(labeling, "_found", broken)
+    batch = spark.createDataFrame([(1, "bad"), (2, "fine")], "page_id long, html string").toArrow().to_batches()
+    rows = [r for out in labeling._cards(batch) for r in out.to_pylist()]
+    assert [(r["page_id"], r["kind"], r["error"]) for r in rows] == [(1, None, "ValueError: bad page"), (2, "item", None)]
+
+
 def test_cards(spark):
     pages = spark.createDataFrame([(1, card("€ 100", "Via Roma", *ITEMS)), (2, None), (3, "<p>no card</p>")], "page_id long, html string")
     found = [(r.token, r.label) for r in card_labels(pages).orderBy("page_id", "place").collect()]

@@ -10,7 +10,8 @@ from tessella.operators.normalize import fit_normalizer, transform_normalizer
 from tessella.plans import pipelines  # noqa: F401  registers the steps
 from tessella.plans.registry import StepConfig, load_config, run_steps
 from tessella.sources import readers, writers
-from tessella.sources.paths import latest_path, timestamped_path
+from tessella.sources.files import SharedFile
+from tessella.sources.paths import current_version, new_version, versions
 from tessella.streaming.tokens import stream_pages, stream_tokens, write_features
 
 from .test_labeling import card
@@ -30,6 +31,7 @@ def test_html_folder(spark, folder):
     rows = readers.read_html(spark, str(folder), limit=3)
     assert [r.filename for r in rows.collect()] == ["page_0.html", "page_1.html", "page_2.html"]
     assert readers.read_html(spark, str(folder)).count() == 8
+    assert [r.filename for r in readers.read_html(spark, str(folder), ordered=True).collect()] == [f"page_{k}.html" for k in range(8)]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.read_html(spark, str(folder / "none")).count()
 
@@ -98,20 +100,24 @@ def test_json_round_trip(spark):
     assert back.text == "a" and back.length == 1.5 and back.n_words is None
 
 
-def test_versioned_paths(tmp_path):
-    first = timestamped_path(tmp_path / "a.json", datetime(2024, 1, 2, 3, 4, 5))
-    assert first.name == "a_20240102_030405.json"
+def test_versions(spark, tmp_path):
+    first = new_version(spark, tmp_path / "a.json", datetime(2024, 1, 2, 3, 4, 5))
+    assert first.endswith("/a_20240102_030405.json")
     with pytest.raises(FileNotFoundError):
-        latest_path(tmp_path / "a.json")
-    for name in ("a_20240102_030405.json", "a_20250102_030405.json", "a_old.json"):
+        current_version(spark, tmp_path / "a.json")
+    for name in ("a_20240102_030405.json", "a_x_20250102_030405.json", "a_old.json", "b_20260101_000000.json", "a_20260101_000000.csv"):
         (tmp_path / name).write_text("{}")
-    assert latest_path(tmp_path / "a.json").name == "a_20250102_030405.json"
+    assert [x for x, _ in versions(spark, f"file://{tmp_path}/a.json")] == ["", "20240102_030405", "20250102_030405"]
+    assert current_version(spark, f"file://{tmp_path}/a.json").endswith("/a_x_20250102_030405.json")
+    writers.write_artifact(spark, {"é": [1]}, tmp_path / "a_20270101_000000.json")
+    assert readers.read_artifact(spark, tmp_path / "a.json") == {"é": [1]}
     (tmp_path / "a.json").write_text("{}")
-    assert latest_path(tmp_path / "a.json").name == "a.json"
+    assert readers.read_artifact(spark, tmp_path / "a.json") == {}
+    assert not SharedFile(spark, f"{tmp_path}/none/x").siblings()
 
 
 def test_metric_log(spark, tmp_path):
-    log = writers.MetricLog(tmp_path / "m.jsonl")
+    log = writers.MetricLog(spark, tmp_path / "metrics", lines=2)
 
     @log.timed
     def fetch(fail):
@@ -120,10 +126,18 @@ def test_metric_log(spark, tmp_path):
         return 1
 
     assert fetch(False) == 1
-    with pytest.raises(ValueError):
-        fetch(True)
-    found = [(r.method, r.status_code) for r in readers.read_metrics(spark, str(tmp_path / "m.jsonl"), "fetch").collect()]
-    assert sorted(found) == [("fetch", 200), ("fetch", 500)]
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            fetch(True)
+    log.close()
+    found = [(r.method, r.status_code, r.message) for r in readers.read_metrics(spark, str(tmp_path / "metrics"), "fetch").collect()]
+    assert sorted(found) == [("fetch", 200, ""), ("fetch", 500, "no"), ("fetch", 500, "no")]
+    assert readers.read_metrics(spark, str(tmp_path / "metrics"), "other").count() == 0
+
+
+def test_truth_skeleton(spark, tmp_path):
+    writers.write_truth_skeleton(spark.createDataFrame([("a, b", 1), ("c", 2)], "text string, n long"), str(tmp_path / "truth"))
+    assert sorted(r.text for r in readers.read_csv(spark, str(tmp_path / "truth"), "text string").collect()) == ["a, b", "c"]
 
 
 def test_missing_class_has_the_largest_weight(spark):

@@ -3,12 +3,12 @@ import pytest
 import __spark_entry__
 from tessella.queries import QUERIES, SQL
 
-from .conftest import DATA
+from .conftest import DATA, LARGER
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(name, agree):
-    agree(QUERIES[name], SQL[name])
+    agree(QUERIES[name], SQL[name], LARGER)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"rf_importance", "classifier_predict"}))
