@@ -305,11 +305,3 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
     """
     index = _index(docs, templates, least)
     return _rows(docs).mapInArrow(_run(lambda column: index.value.resolved(column), _MATCH | {"n_templates": pa.int64()}), f"{_DDL}, n_templates long")
-
-
-def best_license(matches: DataFrame) -> DataFrame:
-    """One row for each doc_id: its most similar template, the first by name of equals. A summary; ``licenses`` has them all."""
-    ranked = matches.groupBy("doc_id").agg(
-        F.min(F.struct((-F.col("dice")).alias("d"), "license", "first_line", "last_line")).alias("x"), F.count("*").alias("n_templates")
-    )
-    return ranked.select("doc_id", "x.license", (-F.col("x.d")).alias("dice"), "x.first_line", "x.last_line", "n_templates")

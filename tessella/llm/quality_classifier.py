@@ -175,9 +175,11 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     votes has a digit for each labeller (0 bad, 1 nothing, 2 good); posterior is the label model's, score
     the trained scorer's; kept says score >= threshold. A null or wordless text has score 0. Null doc_ids
-    and repeated rows each come back; other columns are not read; an empty table gives no rows.
+    and repeated rows each come back; equal texts have equal results. Other columns are not read; an empty
+    table gives no rows.
 
-    Label model: votes of all documents. Scorer: TRAIN_DOCS documents of up to TRAIN_CHARS characters.
+    Label model: votes of all documents, whole texts however long, repeated ones as often as they occur.
+    Scorer: TRAIN_DOCS distinct texts of up to TRAIN_CHARS characters, the first by hash.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -13,30 +13,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_FALLBACK = "file:///tmp/checkpoints/tessella"
 #: Ids broadcast at most.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 #: Rows of one key that one task of a join takes.
 HOT_ROWS = 20_000
 #: Tasks of a stage at most, where their number follows the input.
 MOST_TASKS = 20_000
 #: Arrow batches sent to Python workers stay under both bounds, unless the session sets its own.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(16 << 20))}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(8 << 20))}
 
 _folders: dict[str, list[str]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; without one, a local folder if all executors are in this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (named or LOCAL_FALLBACK).rstrip("/")
-
-
 def workdir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one; ``discard`` removes it."""
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

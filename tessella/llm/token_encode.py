@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of pieces and their ids remembered by a worker at most; all are forgotten when there are more.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 64 << 20
 #: What a piece takes besides its bytes and ids: a string, an entry of a dictionary, and two numbers.
 _PIECE_BYTES = 150
 #: First bytes of characters of which some are white space: they count as such on either side of a cut.

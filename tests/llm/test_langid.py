@@ -80,3 +80,54 @@ def test_languages_of_long_documents_only_are_learnt(spark):
     rows += [(k, "12 34 " * 4_000 + "быстрая рыжая лиса бежит через холмы " * 600, "ru") for k in range(5, 10)]
     found = predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()
     assert {r.doc_id: r.lang_pred for r in found} == {k: lang for k, _, lang in rows}
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Samples, phrases, verdicts and scores of the registered query, by plain loops."""
+    import re
+    import zlib
+
+    import xxhash
+
+    from tessella.llm import langid
+
+    words = {"en": "the cat sat on a mat and then it ran off to sea", "de": "die katze sass auf der matte und lief dann fort", "ru": "кошка сидела на коврике а потом ушла к морю"}
+    rows = []
+    for k in range(90):
+        lang = ("en", "de", "ru")[k % 3]
+        own = words[lang].split()
+        rows.append((k, "12, " + ". ".join(own[(k * 7 + j * j) % len(own)].capitalize() + " " + own[(k + 3 * j) % len(own)] for j in range(k % 17)), lang if k % 10 else None))
+    rows += [(90, None, "en"), (91, "123", "de"), (None, words["en"], "en"), (92, words["ru"] * 40, None), (5, words["de"], "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9), r.n_symbols) for r in QUERIES["op5_language_id"](spark, str(tmp_path)).collect())
+
+    def plain_fold(text):
+        out = []
+        for c in re.sub(r"^[\W\d_]+|[\W\d_]+$", "", text or ""):
+            low = ord(c.lower()[0])
+            symbol = 0 if not c.isalpha() else low - 96 if 97 <= low <= 122 else 27 + low % 36
+            if symbol or out[-1]:
+                out.append(symbol)
+        return out
+
+    def learnt(doc_id):
+        return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 != 1
+
+    def number(x, seed=42):
+        h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True) if isinstance(x, int) else x.encode(), seed)
+        return h - (1 << 64) if h >> 63 else h
+
+    samples = {}
+    for lang in words:
+        own = sorted((number(d), number(t), t) for d, t, tag in rows if tag == lang and t is not None and learnt(d))[: langid.SAMPLE_DOCS]
+        symbols = [y for _, _, t in own for y in (*plain_fold(t), 0)]
+        samples[lang] = symbols[: langid.SAMPLE_SYMBOLS]
+    wanted = []
+    for d, text, _ in rows:
+        symbols = plain_fold(text)
+        pred, score = "und", 0.0
+        if symbols:
+            cost = sorted((phrases(symbols, samples[x]) * np.log2(len(samples[x])) / len(symbols), x) for x in sorted(samples))
+            pred, score = cost[0][1], (cost[1][0] - cost[0][0]) / cost[1][0]
+        wanted.append((str(d), d is not None and zlib.crc32(str(d).encode()) % 3 == 1, pred, round(score, 9), len(symbols)))
+    assert found == sorted(wanted)

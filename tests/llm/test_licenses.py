@@ -7,7 +7,7 @@ import pytest
 
 from tessella.llm.license_texts import TEXTS
 from tessella.llm import queries
-from tessella.llm.licenses import TEMPLATES, TemplateIndex, best_license, license_matches, licenses
+from tessella.llm.licenses import TEMPLATES, TemplateIndex, license_matches, licenses
 
 WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
@@ -56,7 +56,7 @@ def test_against_all_runs():
 
 
 def test_queries_find_the_planted_lines(spark, sf, docs):
-    found = {r.doc_id for r in best_license(license_matches(spark.read.parquet(f"{sf}/documents.parquet"))).collect()}
+    found = {r.doc_id for r in license_matches(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert found == set(docs.doc_id[docs.text.str.contains("(?i)licen[cs]e")]) and found
 
 
@@ -64,7 +64,7 @@ def test_edges(spark, edge_docs, empty_docs):
     assert license_matches(edge_docs).count() == 0
     assert license_matches(empty_docs).count() == 0
     rows = spark.createDataFrame([(1, "MIT"), (None, "Released under the MIT License."), (2, None), (3, "Released under the MIT License.\n" * 2000)], "doc_id long, text string")
-    found = best_license(license_matches(rows)).collect()
+    found = license_matches(rows.selectExpr("*", "'clash' as license", "'clash' as dice")).collect()
     assert {(r.doc_id, r.license, r.dice) for r in found} == {(None, "MIT-notice", 1.0), (3, "MIT-notice", 1.0)}
     assert license_matches(rows, {"one": "word", "none": ""}).count() == 0
 

@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
+from tessella.llm import quality_classifier as classifier
 from tessella.llm import quality_rules as rules
 from tessella.llm.quality_classifier import LABELLERS, classify_quality, fit_label_model
 
@@ -112,6 +115,87 @@ def test_classifier_against_labels(spark):
     assert set(found.votes.str.len()) == {len(LABELLERS)}
 
 
+def plain_votes(text):
+    data = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    low = re.findall(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", data.lower())
+    n, size, m = len(w), sum(map(len, w)), len(low)
+
+    def count(cond):
+        return sum(map(cond, data))
+
+    symbols, upper, digits = count(lambda b: b in b"#*$%&|<>{}=~^\\"), count(lambda b: 65 <= b <= 90), count(lambda b: 48 <= b <= 57)
+    letters = count(lambda b: 97 <= (b | 32) <= 122 or b >= 192)
+    ends, distinct = sum(x[-1:] in (b".", b"!", b"?") for x in w), len(set(low))
+    function, insults = (sum(x.decode() in words for x in low) for words in (set(classifier.FUNCTION_WORDS), set(classifier.INSULTS)))
+
+    def vote(bad, good):
+        return "0" if bad else "2" if good else "1"
+
+    return "".join([
+        vote(10 * symbols > n, 50 * symbols <= n and n > 0), vote(10 * upper > 3 * letters, 20 * upper <= 3 * letters and letters > 0),
+        vote(size < 2 * n or size > 14 * n, 3 * n <= size <= 10 * n and n > 0), vote(10 * distinct < 3 * min(m, 300) and m >= 40, 2 * distinct > m > 0),
+        vote(n < 5, n >= 50), vote(100 * ends < n and n >= 40, 50 * ends >= n > 0), vote(50 * function < m and m >= 40, 10 * function >= m),
+        vote(5 * digits > size, 20 * digits <= size and size > 0), vote(insults >= 2 and 400 * insults >= m, False),
+    ])
+
+
+def plain_posteriors(votes):
+    """Expectation-maximisation over plain dictionaries."""
+    counts = Counter(votes)
+    good = {v: min(0.95, max(0.05, 0.5 + sum(int(c) - 1 for c in v) / (2 * len(v)))) for v in counts}
+    for _ in range(100):
+        prior = (sum(n * good[v] for v, n in counts.items()) + 1) / (sum(counts.values()) + 2)
+        table = {}
+        for k in range(len(LABELLERS)):
+            for side in (0, 1):
+                sums = [1 + sum(n * (good[v] if side else 1 - good[v]) for v, n in counts.items() if v[k] == c) for c in "012"]
+                table[k, side] = [x / sum(sums) for x in sums]
+        after = {v: 1 / (1 + np.exp(-np.clip(log(prior / (1 - prior)) + sum(log(table[k, 1][int(c)] / table[k, 0][int(c)]) for k, c in enumerate(v)), -50, 50))) for v in counts}
+        moved = max(abs(after[v] - good[v]) for v in counts)
+        if moved < 1e-9:
+            break
+        good = after
+    return good
+
+
+def plain_features(text):
+    import pyarrow as pa
+
+    from tessella.llm.textops import MARKS, mixed, rolled_hashes, text_bytes, word_hashes, words
+
+    data, offsets = text_bytes(pa.array([text or ""], pa.large_string()), lower=True)
+    low = word_hashes(data, *words(data, offsets, MARKS)[:2])
+    pairs = mixed(rolled_hashes(low, 2))[: max(0, len(low) - 1)]
+    found = Counter(int(h) % classifier.DIMENSIONS for h in [*low.tolist(), *pairs.tolist()])
+    norm = sum(found.values()) ** 0.5
+    return {k: n**0.5 / norm for k, n in found.items()}
+
+
+def test_classifier_against_brute_force(spark, docs):
+    """Votes, posteriors, the sample, the scorer and all scores, by plain loops."""
+    texts = [*docs.text.tolist(), docs.text[0], None, "", "!!!"]  # a repeated text, a tie, counts twice among the votes and once in training
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("votes", F.lit("clash")).repartition(3)
+    found = {r.doc_id: r for r in classify_quality(frame).collect()}
+    votes = [plain_votes(t) for t in texts]
+    good = plain_posteriors(votes)
+    sample = sorted({(signed(xxhash.xxh64_intdigest(t.encode(), 42)), t, good[v]) for t, v in zip(texts, votes, strict=True) if t and len(t) <= classifier.TRAIN_CHARS})
+    rows, weights, squares = [plain_features(t) for _, t, _ in sample], Counter(), Counter()
+    order = np.random.default_rng(0)
+    for _ in range(classifier.EPOCHS):
+        for k in order.permutation(len(rows)):
+            x = {**rows[k], -1: 1.0}
+            error = 1 / (1 + np.exp(-np.clip(sum(weights[i] * v for i, v in x.items()), -50, 50))) - sample[k][2]
+            for i, v in x.items():
+                squares[i] += (error * v) ** 2
+                weights[i] -= 0.5 * error * v / np.sqrt(squares[i] + 1e-2)
+    for k, (text, v) in enumerate(zip(texts, votes, strict=True)):
+        x = plain_features(text)
+        score = 1 / (1 + np.exp(-(sum(weights[i] * y for i, y in x.items()) + weights[-1]))) if x else 0.0
+        assert found[k].votes == v and found[k].posterior == pytest.approx(good[v], abs=1e-6)
+        assert found[k].score == pytest.approx(score, abs=1e-6) and found[k].kept == (found[k].score >= 0.5)
+
+
 def test_classifier_edges(edge_docs, empty_docs):
     found = classify_quality(edge_docs).collect()
     assert len(found) == edge_docs.count()
