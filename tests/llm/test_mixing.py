@@ -7,7 +7,7 @@ from tessella.llm.queries import QUERIES, SQL
 
 def test_query_equals_sql(agree):
     name = "op2_source_mixing"
-    agree(QUERIES[name], SQL[name])
+    agree(QUERIES[name], SQL[name], "/root/testdata/sf0.01")
 
 
 def test_marginals_are_met(spark, tmp_path):

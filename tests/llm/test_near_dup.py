@@ -98,7 +98,7 @@ def test_shuffled_path_for_many_ids(spark, monkeypatch, docs):
 
 def test_query_equals_sql(agree):
     name = "op9_minhash_near_dedup"
-    agree(QUERIES[name], SQL[name])
+    agree(QUERIES[name], SQL[name], "/root/testdata/sf0.01")
 
 
 def test_edges(edge_docs, empty_docs):

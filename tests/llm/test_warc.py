@@ -93,4 +93,4 @@ def test_members_stand_alone_and_damage_is_seen():
 def test_query_equals_sql(agree):
     from tessella.llm.queries import QUERIES, SQL
 
-    agree(QUERIES["op8_warc_index"], SQL["op8_warc_index"])
+    agree(QUERIES["op8_warc_index"], SQL["op8_warc_index"], "/root/testdata/sf0.01")
