@@ -682,3 +682,6 @@ def classifier_predict(spark, sf_dir):
     train, test = ml.stratified_split(_training_rows(spark, sf_dir), part=0.2, seed=7)
     model, _ = ml.train_classifier(train, list(FEATURES))
     return evaluate.classification_report(ml.predict(model, test, list(FEATURES)), "label", "predicted_label")
+
+
+from . import queries_tree  # noqa: E402, F401  registers its queries

@@ -11,6 +11,17 @@ def test_query_equals_sql(name, agree):
     agree(QUERIES[name], SQL[name], LARGER)
 
 
+def test_tree_queries_hold_every_feature_of_the_tree(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.operators.fast import tree_features
+    from tessella.operators.features import structure_features
+    from tessella.queries_tree import FIRST, SECOND
+
+    assert set(structure_features(F.lit(0))) | {"block_text_length_ratio"} == set(FIRST)
+    assert set(tree_features()) == set(SECOND)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"rf_importance", "classifier_predict"}))
 def test_query_gives_rows(name, spark):
     assert QUERIES[name](spark, DATA).count() > 0
