@@ -71,7 +71,11 @@ def confusion_pairs(rows: DataFrame, true: str = "true_label", predicted: str =
     return rows.groupBy(F.col(true).alias("true_label"), F.col(predicted).alias("predicted_label")).agg(F.count("*").alias("n"))
 
 
+#: The parts that predictions are written in.
+SPLITS = ("default", "features", "complete")
+
+
 def split_predictions(rows: DataFrame, default: str = "O", predicted: str = "predicted_label") -> dict[str, DataFrame]:
     """The rows predicted as the default, the others, and all."""
     plain = F.coalesce(F.col(predicted) == default, F.lit(True))
-    return {"default": rows.filter(plain), "features": rows.filter(~plain), "complete": rows}
+    return dict(zip(SPLITS, (rows.filter(plain), rows.filter(~plain), rows), strict=True))

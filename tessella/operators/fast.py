@@ -74,6 +74,11 @@ def pair_distance(rows: DataFrame, keys: list[str], order: str, name: str) -> Da
     return ranked.groupBy(*keys).agg(share(2 * total, n * n).alias(name))
 
 
+def block_marks(text: Column) -> tuple[Column, Column]:
+    """Whether a text holds a price, and a number of rooms."""
+    return tuple(F.lower(text).rlike(f"(?U){x}") for x in (PRICE_PATTERN, ROOMS_PATTERN))
+
+
 def tree_features() -> dict[str, Column]:
     """Features of a token's element from the numbers of the parse stage."""
 
@@ -177,9 +182,7 @@ def fast_token_features(pages: DataFrame, id_column: str = "page_id", html_colum
     )
     rows = neighbour_features(rows)
     rows = window_features(rows, ["length", "avg_word_length"], 2)
-    rows = block_features(
-        rows, F.lower("text").rlike(f"(?U){PRICE_PATTERN}"), F.lower("text").rlike(f"(?U){ROOMS_PATTERN}"), block="t_block"
-    )
+    rows = block_features(rows, *block_marks(F.col("text")), block="t_block")
     rows = rows.withColumn("token_dist_to_block_mid", share(F.abs(F.col("_k") - (F.col("_n") - 1) / 2), F.col("_n")))
     tree = tree_features()
     return rows.select("page_id", "position", "text", "tag", *[tree.get(x, F.col(x)).cast("double").alias(x) for x in FEATURES])

@@ -247,6 +247,20 @@ def window_stats(spark, sf_dir):
     return rows.select("page_id", "position", *rounded(rows, "window_mean_length", "window_std_length"))
 
 
+@query(
+    f"""WITH {_PAGED}, a AS (SELECT *, coalesce(list_sum(list_transform(ws, lambda x: length(x))) / nullif(len(ws), 0), 0) AS x FROM p)
+SELECT page_id, position, round(avg(x) OVER w, 6) AS window_mean_avg_word_length, round(stddev_pop(x) OVER w, 5) + 0.0 AS window_std_avg_word_length
+FROM a WINDOW w AS (PARTITION BY page_id ORDER BY position ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"""
+)
+def window_words(spark, sf_dir):
+    rows = lines(spark, sf_dir).withColumn("words", word_list(F.col("text")))
+    rows = rows.withColumn("avg_word_length", text_features(F.col("text"), F.col("words"))["avg_word_length"])
+    found = windows.window_features(rows, ["avg_word_length"], 2)
+    return found.select(
+        "page_id", "position", *rounded(found, "window_mean_avg_word_length"), (F.round("window_std_avg_word_length", 5) + 0.0).alias("window_std_avg_word_length")
+    )
+
+
 @query(
     f"""WITH {_PAGED}, n AS (SELECT *, coalesce(lag(length) OVER w, length) AS b, coalesce(lead(length) OVER w, length) AS a FROM p WINDOW w AS (PARTITION BY page_id ORDER BY position))
 SELECT page_id, position, CASE WHEN length > b AND length > a THEN 1.0::DOUBLE ELSE 0.0 END AS length_is_local_max,
@@ -684,4 +698,4 @@ def classifier_predict(spark, sf_dir):
     return evaluate.classification_report(ml.predict(model, test, list(FEATURES)), "label", "predicted_label")
 
 
-from . import queries_tree  # noqa: E402, F401  registers its queries
+from . import queries_files, queries_tree  # noqa: E402, F401  register their queries

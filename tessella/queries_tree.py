@@ -71,9 +71,11 @@ def _select(columns: dict[str, str]) -> str:
 
 _DOC, _SECTION, _DIV = "(1 + 3 * m) / 1", "(1 + 3 * m) / 2", "CASE WHEN m > 0 THEN 3.0 ELSE 0.0 END"
 _RATES = _per_tag(f"[{_DOC}, {_SECTION}]", f"[{_DOC}, {_SECTION}, {_DIV}, 1.5]", f"[{_DOC}, {_SECTION}, {_DIV}]")
+#: Features that the first variant leaves at 0.
+CONSTANT = {"percentile_token_length": "0", "token_distance_to_next": "0", "token_distance_to_prev": "0"}
 _SPECIAL = r"len(regexp_extract_all(joined, '[^\p{L}\p{N}\s]'))"
 FIRST = {
-    "n_parents": _per_tag(2, 4, 3), "n_ancestors_with_class": _per_tag(0, 1, 1), "n_ancestors_with_id": "1", "n_ancestors_div": _per_tag(0, 1, 1),
+    **CONSTANT, "n_parents": _per_tag(2, 4, 3), "n_ancestors_with_class": _per_tag(0, 1, 1), "n_ancestors_with_id": "1", "n_ancestors_div": _per_tag(0, 1, 1),
     "n_ancestors_section": "1", "has_grandparent": "1", "n_children": _per_tag(0, 0, 2), "n_descendants": _per_tag(1, 1, 5), "max_child_depth": _per_tag(0, 0, 1),
     "has_only_text_children": _per_tag(1, 1, 0), "n_siblings": _per_tag(1, 1, "m - 1"), "tag_index_among_siblings": _per_tag(0, 0, "i", 1),
     "n_siblings_with_text": _per_tag("1 + (m > 0)::INT", 2, "m"), "avg_sibling_text_length": _per_tag("v / 2", "(la + lb) / 2", "s / m"),

@@ -16,9 +16,9 @@ def test_tree_queries_hold_every_feature_of_the_tree(spark):
 
     from tessella.operators.fast import tree_features
     from tessella.operators.features import structure_features
-    from tessella.queries_tree import FIRST, SECOND
+    from tessella.queries_tree import CONSTANT, FIRST, SECOND
 
-    assert set(structure_features(F.lit(0))) | {"block_text_length_ratio"} == set(FIRST)
+    assert set(structure_features(F.lit(0))) | {"block_text_length_ratio", *CONSTANT} == set(FIRST)
     assert set(tree_features()) == set(SECOND)
 
 
