@@ -12,29 +12,31 @@ from .windows import block_features, neighbour_features, page_features, window_f
 
 #: Numeric features in the order in which records hold them.
 FEATURES = (
-    "length n_words avg_word_length n_digits n_uppercase n_periods n_special_chars n_sentences is_numeric_token"
-    " is_mixed_alphanum n_parents n_ancestors_with_class n_ancestors_with_id n_ancestors_div n_ancestors_section"
-    " has_grandparent n_children n_descendants max_child_depth has_only_text_children n_siblings tag_index_among_siblings"
-    " n_siblings_with_text avg_sibling_text_length n_unique_tags_among_siblings relative_position relative_depth_ratio"
-    " text_density normalized_token_length percentile_token_length token_distance_to_next token_distance_to_prev"
-    " has_style_attribute n_style_properties font_size_extracted margin_top_extracted display_type_code"
-    " parent_tag_token_count n_child_tokens_with_digits n_descendants_with_digits n_descendants_with_links"
-    " n_descendants_with_buttons token_repeated_in_page n_classes class_name_length_avg id_name_length dom_path_length"
-    " is_link link_href_depth css_title_score capital_ratio keyword_score_title char_entropy length_zscore n_words_zscore"
-    " tf_log distinct_ratio uniq_ratio vowel_ratio cv_balance max_digit_run uniq_bigram_ratio neigh_len_diff cap_run_norm"
-    " ancestors_text_density_variance sibling_text_density block_text_token_density block_tag_density"
-    " descendants_text_density ancestors_avg_tag_density text_ratio_in_block tag_ratio_in_block block_avg_word_length"
-    " block_std_word_length block_avg_sentence_count descendants_link_density descendants_img_density"
-    " block_special_char_density block_digit_density token_dist_to_block_mid block_token_count block_depth_wtd_token_den"
-    " siblings_tag_density local_subtree_height parent_child_ratio block_text_length_ratio local_token_rep_density"
-    " block_avg_token_distance normalized_block_area length_is_local_max length_peak_prominence length_gradient_sign"
-    " length_rank_in_block length_z_to_block_median dist_from_last_price_token is_between_price_and_locali"
-    " window_mean_length window_std_length window_mean_avg_word_length window_std_avg_word_length"
-).split()
+    "length", "n_words", "avg_word_length", "n_digits", "n_uppercase", "n_periods", "n_special_chars", "n_sentences",
+    "is_numeric_token", "is_mixed_alphanum", "n_parents", "n_ancestors_with_class", "n_ancestors_with_id", "n_ancestors_div",
+    "n_ancestors_section", "has_grandparent", "n_children", "n_descendants", "max_child_depth", "has_only_text_children",
+    "n_siblings", "tag_index_among_siblings", "n_siblings_with_text", "avg_sibling_text_length", "n_unique_tags_among_siblings",
+    "relative_position", "relative_depth_ratio", "text_density", "normalized_token_length", "percentile_token_length",
+    "token_distance_to_next", "token_distance_to_prev", "has_style_attribute", "n_style_properties", "font_size_extracted",
+    "margin_top_extracted", "display_type_code", "parent_tag_token_count", "n_child_tokens_with_digits",
+    "n_descendants_with_digits", "n_descendants_with_links", "n_descendants_with_buttons", "token_repeated_in_page", "n_classes",
+    "class_name_length_avg", "id_name_length", "dom_path_length", "is_link", "link_href_depth", "css_title_score",
+    "capital_ratio", "keyword_score_title", "char_entropy", "length_zscore", "n_words_zscore", "tf_log", "distinct_ratio",
+    "uniq_ratio", "vowel_ratio", "cv_balance", "max_digit_run", "uniq_bigram_ratio", "neigh_len_diff", "cap_run_norm",
+    "ancestors_text_density_variance", "sibling_text_density", "block_text_token_density", "block_tag_density",
+    "descendants_text_density", "ancestors_avg_tag_density", "text_ratio_in_block", "tag_ratio_in_block", "block_avg_word_length",
+    "block_std_word_length", "block_avg_sentence_count", "descendants_link_density", "descendants_img_density",
+    "block_special_char_density", "block_digit_density", "token_dist_to_block_mid", "block_token_count",
+    "block_depth_wtd_token_den", "siblings_tag_density", "local_subtree_height", "parent_child_ratio", "block_text_length_ratio",
+    "local_token_rep_density", "block_avg_token_distance", "normalized_block_area", "length_is_local_max",
+    "length_peak_prominence", "length_gradient_sign", "length_rank_in_block", "length_z_to_block_median",
+    "dist_from_last_price_token", "is_between_price_and_locali", "window_mean_length", "window_std_length",
+    "window_mean_avg_word_length", "window_std_avg_word_length",
+)
 #: Fields of a record that nothing sets.
 NULL_FEATURES = (
-    "n_lowercase n_punctuation n_commas n_total_ancestors depth_in_dom position_in_block parent_token_length tfidf_score"
-).split()
+    "n_lowercase", "n_punctuation", "n_commas", "n_total_ancestors", "depth_in_dom", "position_in_block", "parent_token_length", "tfidf_score",
+)
 #: The delimiter of blocks and the keyword within them; parameters everywhere.
 DELIMITER, KEYWORD = "€", "locali"
 

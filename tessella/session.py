@@ -55,8 +55,8 @@ def spread(rows: DataFrame) -> DataFrame:
     if rows.isStreaming:
         return rows
     spark, context = rows.sparkSession, rows.sparkSession.sparkContext
-    cores, files = context.defaultParallelism, rows.inputFiles()
-    if not files or len(files) >= cores:
+    cores, files = context.defaultParallelism, rows._jdf.inputFiles()  # the names stay in the JVM: there can be very many
+    if not len(files) or len(files) >= cores:
         return rows
     size = 0
     for file in files:
