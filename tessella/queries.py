@@ -383,6 +383,23 @@ def html_tokens(spark, sf_dir):
     return parsed_tokens(table(spark, sf_dir, "pages"), numbers=()).select("page_id", "position", "text", "tag", "error")
 
 
+_PIECE = "<!DOCTYPE [^>]*>|<!--.*?-->|<style>.*?</style>|<script>.*?</script>|<[^>]*>|[^<]+"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, regexp_extract_all(html, '{_PIECE}', 0, 's') AS ps FROM pages),
+x AS (SELECT page_id, unnest(ps) AS piece, unnest(range(len(ps))) AS k FROM p),
+t AS (SELECT page_id, k, CASE WHEN starts_with(piece, '<!DOCTYPE ') THEN piece[11:-2] WHEN starts_with(piece, '<!--') THEN piece[5:-4]
+    WHEN starts_with(piece, '<style>') THEN piece[8:-9] WHEN starts_with(piece, '<script>') THEN piece[9:-10] WHEN starts_with(piece, '<') THEN ''
+    ELSE replace(replace(replace(replace(piece, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') END AS raw FROM x),
+s AS (SELECT page_id, k, regexp_replace(regexp_replace(raw, '^{_BLANK}', ''), '{_BLANK}$', '') AS text FROM t)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS position, text FROM s WHERE length(text) BETWEEN 1 AND 500"""
+)
+def html_token_texts(spark, sf_dir):
+    """The texts of all tokens of all pages in order, against a split of the source at its tags."""
+    return parsed_tokens(table(spark, sf_dir, "pages"), numbers=()).select("page_id", "position", "text")
+
+
 @query(
     r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', '', 'gs'), '<style.*?</style>', '', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages)
 SELECT page_id, CAST(len(regexp_extract_all(h, '<a[ >]')) AS BIGINT) AS n_a, CAST(len(regexp_extract_all(h, '<li[ >]')) AS BIGINT) AS n_li,

@@ -29,7 +29,7 @@ def stream_pages(spark: SparkSession, folder: str, pattern: str = "*.html", file
 
 def stream_tokens(pages: DataFrame) -> DataFrame:
     """Tokens with the features of their own text; stateless."""
-    rows = parsed_tokens(pages).filter("error is null").withColumn("words", word_list(F.col("text")))
+    rows = parsed_tokens(pages, numbers=()).filter("error is null").withColumn("words", word_list(F.col("text")))
     return rows.withColumns(text_features(F.col("text"), F.col("words"))).drop("words")
 
 

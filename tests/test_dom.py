@@ -1,6 +1,8 @@
 import pytest
 
-from tessella.operators.dom import NUMBERS, PageTokens, measure, parse, structure_ids, visible_strings
+from tessella.operators import dom
+from tessella.operators.dom import NUMBERS, PageTokens, measure, parse, parsed_tokens, structure_ids, visible_strings
+from tessella.operators.token_tree import TREE_NUMBERS
 
 
 def rows(html):
@@ -94,3 +96,36 @@ def test_odd_pages(html):
 def test_deep_nesting():
     found = rows("<div>" * 3000 + "x")
     assert found[0]["depth"] == 3000
+
+
+def test_many_paths_and_long_pages():
+    deep = "<div>a b" * 1500
+    assert len(PageTokens(deep, (*NUMBERS, *TREE_NUMBERS)).rows()) == 1500
+    wide = "<ul>" + "<li>x <b>y</b></li>" * 5000 + "</ul>"
+    found = PageTokens(wide, (*NUMBERS, *TREE_NUMBERS)).rows()
+    assert len(found) == 10_000
+
+
+def test_a_page_that_fails_gives_one_row(spark, monkeypatch):
+    import pyarrow as pa
+
+    def broken(html):
+        if "bad" in html:
+            raise ValueError("bad page")
+        return parse(html)
+
+    monkeypatch.setattr(dom, "parse", broken)
+    batch = spark.createDataFrame([(1, "bad"), (2, "<p>fine</p>")], "page_id long, html string").toArrow().to_batches()
+    for run in (dom._rows(pa.int64(), ()), dom._rows(pa.int64(), NUMBERS), dom._node_rows):
+        found = [r for out in run(batch) for r in out.to_pylist()]
+        assert [r["error"] for r in found if r["page_id"] == 1] == ["ValueError: bad page"]
+        assert [r["text"] for r in found if r["page_id"] == 2][-1] == "fine"
+
+
+def test_only_the_numbers_asked_for(spark):
+    pages = spark.createDataFrame([("p", "<p>x</p>")], "page_id string, html string")
+    assert parsed_tokens(pages, numbers=()).columns == ["page_id", "position", "text", "tag", "classes", "error"]
+    row = parsed_tokens(pages, numbers=("t_depth", "depth")).first()
+    assert (row.page_id, row.t_depth, row.depth) == ("p", 1.0, 1.0)
+    with pytest.raises(ValueError):
+        parsed_tokens(pages, numbers=("none",))

@@ -31,7 +31,7 @@ def test_learning_queries(spark):
     found = QUERIES["rf_importance"](spark, DATA).toPandas()
     assert abs(found.importance.sum() - 1) < 1e-6
     report = QUERIES["classifier_predict"](spark, DATA).toPandas().set_index("label")
-    assert report.loc["accuracy", "f1"] > 0.8
+    assert report.loc["accuracy", "f1"] >= 0.99 and report.loc["accuracy", "support"] == sum(report.support[x] for x in ("a", "p", "b", "h1", "li", "title", "O") if x in report.index)
 
 
 def test_entry(spark):
