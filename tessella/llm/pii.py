@@ -491,7 +491,7 @@ def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
     if changed.count() <= BROADCAST_CHANGED:
         known = {(r.kind, r.normal): r.surrogate for r in changed.toLocalIterator()}
         return texts.mapInArrow(_rewrite(key, spark.sparkContext.broadcast(known)), schema)
-    return _joined_rewrite(texts, changed, key)
+    return _joined_rewrite(texts, changed, key, folder)
 
 
 def _found_rows(batches):
@@ -502,10 +502,11 @@ def _found_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _joined_rewrite(texts: DataFrame, changed: DataFrame, key: bytes) -> DataFrame:
-    """Where too many surrogates were changed to broadcast: each text is joined with those of its own."""
+def _joined_rewrite(texts: DataFrame, changed: DataFrame, key: bytes, folder: str) -> DataFrame:
+    """Where too many surrogates were changed to broadcast: each text is joined with those of its own, a frequent text in parts."""
     marked = texts.withColumn("mark", F.xxhash64("text"))
     found = marked.select("mark", "text").mapInArrow(_found_rows, "mark long, kind string, normal string").distinct()
     own = found.join(changed, ["kind", "normal"]).groupBy("mark").agg(F.collect_list(F.struct("kind", "normal", "surrogate")).alias("own"))
-    rows = marked.join(own, "mark", "left").select("doc_id", "text", "own")
+    own = materialize(own, f"{folder}-own")
+    rows = join_hot(marked, own, "mark", F.col("doc_id"), f"{folder}-hot", "left").select("doc_id", "text", "own")
     return rows.mapInArrow(_rewrite(key, None), "doc_id long, text string, n_entities long, kinds array<string>")
