@@ -8,7 +8,7 @@ shingle, so only an equal sequence of words is similar.
 Fingerprints are looked up in a multi-index of BLOCKS blocks of 16 bits. If a pair differs in at most
 RADIUS bits, at most (RADIUS // (ERRORS + 1)) blocks have more than ERRORS wrong bits, so the other
 ENOUGH ones or more are found by value, all values of up to ERRORS wrong bits enumerated. Pairs found in
-fewer blocks are no candidates: of unrelated pairs four in a thousand remain, and no pair within the
+fewer blocks are no candidates: of unrelated pairs three in a thousand remain, and no pair within the
 radius is lost. At a similarity of 0.8 the expected distance is 39 of 256 and RADIUS = 63 is 4.2
 standard deviations above it. Candidates are then verified by the exact weighted similarity, sum of
 least over sum of greatest shingle counts.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, prepare, workdir
+from .shared import materialize, prepare, tidied, workdir
 from .textops import MARKS, mixed, rolled_hashes, text_bytes, word_hashes, words
 
 SHINGLE, BITS, ERRORS, RADIUS = 5, 256, 4, 63
@@ -226,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, mark
         part = sorted(((r.item_id, r.text) for r in items.filter(dealt == k).toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         index = spark.sparkContext.broadcast(ItemIndex([x for x, _ in part], [x for _, x in part]))
         rows = texts.mapInArrow(
-            _scan(index, least),
+            tidied(_scan(index, least)),
             "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double, mark long",
         )
         if passes > 1:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .shared import prepare
+from .shared import prepare, tidied
 
 #: Symbols learnt of a language at most, documents drawn for them, and bytes of all transition tables.
 SAMPLE_SYMBOLS, SAMPLE_DOCS, TABLE_BYTES = 32_768, 64, 256 << 20
@@ -221,6 +221,6 @@ def predict_languages(docs: DataFrame, among: Column, mark: bool = False) -> Dat
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     found = rows.mapInArrow(
-        _predict(model), "doc_id long, lang_pred string, score double, phrases_per_symbol double, n_symbols long, mark long"
+        tidied(_predict(model)), "doc_id long, lang_pred string, score double, phrases_per_symbol double, n_symbols long, mark long"
     )
     return found if mark else found.drop("mark")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .graph import connected_components
-from .shared import BROADCAST_IDS, HOT_ROWS, discard, join_hot, materialize, prepare, workdir
+from .shared import BROADCAST_IDS, HOT_ROWS, discard, join_hot, materialize, prepare, tidied, workdir
 from .textops import shingle_hashes, text_bytes, word_hashes, words
 
 #: Symbols of a signature; bits of a symbol.
@@ -242,7 +242,7 @@ def _buckets(nodes: DataFrame, borders: list[int], folder: str) -> DataFrame:
     """
 
     def keyed(rows: DataFrame) -> DataFrame:
-        found = rows.select("node", "n", "sketch", "signature").mapInArrow(_keys(borders), "node long, n long, sketch long, keys array<long>")
+        found = rows.select("node", "n", "sketch", "signature").mapInArrow(tidied(_keys(borders)), "node long, n long, sketch long, keys array<long>")
         return found.select(F.explode("keys").alias("key"), "node", "n", "sketch")
 
     probe = keyed(nodes.filter(F.pmod(F.xxhash64("node"), F.lit(PROBE)) == 0)).groupBy("key").agg(F.count("*").alias("k"))
@@ -327,7 +327,7 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = materialize(
         texts.withColumn("mark", F.xxhash64("text")).mapInArrow(
-            _fingerprint(words_per_shingle, symbols, seed),
+            tidied(_fingerprint(words_per_shingle, symbols, seed)),
             "doc_id long, n_shingles long, digest binary, signature binary, sketch long, parity binary, mark long",
         ),
         f"{work}/prints",
@@ -362,7 +362,7 @@ def near_duplicates(
         _mixed(materialize(placed, f"{work}/placed"), nodes, work)
         .repartition("key", "kind", "i", "j")
         .sortWithinPartitions("key", "kind", "i", "j")
-        .mapInArrow(_across(radius, percent), "a long, b long")
+        .mapInArrow(tidied(_across(radius, percent)), "a long, b long")
         .distinct()
     )
     more = _confirmed(across, texts, nodes, words_per_shingle, percent, f"{work}/second")
@@ -395,7 +395,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, per
     small = wanted.count() <= BROADCAST_IDS
     named = texts.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if small else wanted, "node", "left_semi")
     sets = materialize(
-        named.mapInArrow(_set_rows(n), "node long, shingles binary").filter("length(shingles) > 0").distinct(),
+        named.mapInArrow(tidied(_set_rows(n)), "node long, shingles binary").filter("length(shingles) > 0").distinct(),
         f"{folder}/sets",
     )
     ends = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -404,4 +404,4 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, per
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .select("a", "b", "x", "y")
     )
-    return materialize(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{folder}/links")
+    return materialize(joined.mapInArrow(tidied(_confirm(percent)), "a long, b long").distinct(), f"{folder}/links")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filesystem, materialize, prepare, workdir
+from .shared import filesystem, materialize, prepare, tidied, workdir
 from .token_encode import encoder, vocabulary_of
 
 MAGIC, BLOCK, TAIL = b"TESSPK01", 8192, 40
@@ -197,7 +197,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     files = ordered.mapInArrow(
-        _write(folder, tokenizer, id_bits(max(vocabulary_of(source), end_id + 1)), end_id), "part long, uri string, n_docs long, n_ids long"
+        tidied(_write(folder, tokenizer, id_bits(max(vocabulary_of(source), end_id + 1)), end_id), "encoders"), "part long, uri string, n_docs long, n_ids long"
     )
     return materialize(files, f"{folder}/files")
 
@@ -214,7 +214,7 @@ def read_packed(files: DataFrame) -> DataFrame:
         rows.append((uri, base))
         base += n
     listed = spark.createDataFrame(rows, "uri string, base long").repartition(max(1, len(rows)))
-    return listed.mapInArrow(_read(), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(tidied(_read()), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

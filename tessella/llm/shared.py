@@ -7,8 +7,12 @@ a lost executor then costs its running tasks, never the work of earlier stages.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +26,7 @@ HOT_ROWS = 20_000
 #: Tasks of a stage at most, where their number follows the input.
 MOST_TASKS = 20_000
 #: Arrow batches sent to Python workers stay under both bounds, unless the session sets its own.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(8 << 20))}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(4 << 20))}
 
 _folders: dict[str, list[str]] = {}
 
@@ -82,6 +86,38 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, spread: Column, folder
     return dealt.drop("_parts").join(copies.drop("_parts"), [key, "_part"], how).drop("_part")
 
 
+#: What workers keep from task to task, by name, with what forgets it.
+kept_by_workers: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(keeps: str) -> None:
+    for name, forget in kept_by_workers.items():
+        if name != keeps:
+            forget()
+
+
+def give_back() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidied(run, keeps: str = ""):
+    """A function on Arrow batches that frees what other functions keep from task to task, and gives back what a task has freed.
+
+    Python workers are used again, by other stages too, and would hold the peaks of all of them.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        forget_others(keeps)
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Writes a table into the shared folder and reads it again, which cuts its lineage."""
     df.write.mode("overwrite").parquet(path)

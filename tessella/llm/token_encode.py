@@ -20,6 +20,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from .shared import kept_by_workers
+
 #: Bytes of pieces and their ids remembered by a worker at most; all are forgotten when there are more.
 REMEMBERED_BYTES = 64 << 20
 #: What a piece takes besides its bytes and ids: a string, an entry of a dictionary, and two numbers.
@@ -34,6 +36,7 @@ _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = True
 
 _encoders: dict[int, "PieceEncoder"] = {}
+kept_by_workers["encoders"] = _encoders.clear
 
 
 def vocabulary_of(tokenizer_json: str) -> int:

@@ -143,3 +143,18 @@ def test_small_reads_give_the_same(spark, docs):
     batch = pa.RecordBatch.from_pylist([{"uri": u, "base": 0} for u in uris])
     assert [x.to_pylist() for x in _read(100)([batch])] == [x.to_pylist() for x in _read()([batch])]
     assert read_packed(files).count() == len(docs)
+
+
+def test_workers_forget_what_other_stages_keep(spark, docs):
+    from tessella.llm.shared import tidied
+
+    def kept(batches):
+        for _ in batches:
+            from tessella.llm import token_encode
+
+            yield pa.RecordBatch.from_pylist([{"n": len(token_encode._encoders)}])
+
+    one = spark.createDataFrame(docs[:20]).coalesce(1)
+    for keeps, n in (("encoders", 1), ("", 0)):
+        token_output(one, PATH).count()
+        assert one.mapInArrow(tidied(kept, keeps), "n long").first().n <= n
