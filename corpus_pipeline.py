@@ -15,6 +15,7 @@ from tessella.llm.mixing import sample_documents
 from tessella.llm.near_dup import near_duplicates
 from tessella.llm.packing import token_output
 from tessella.llm.shared import BROADCAST_IDS, discard, folders, materialize, workdir
+from tessella.session import spread
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: A text is foreign if it needs more phrases a symbol in its best language than this, and one over the root
@@ -98,7 +99,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage wrote is removed once the next one's output is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     before = folders(spark)
     for name, stage in STAGES:
         found = stage(spark, docs, sf_dir)
