@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import filesystem, materialize, prepare, tidied, workdir
-from .token_encode import encoder, vocabulary_of
+from .token_encode import cuts_apply, encoder, vocabulary_of
 
 MAGIC, BLOCK, TAIL = b"TESSPK01", 8192, 40
 
@@ -134,7 +134,7 @@ class PackedFile:
         self.file.close()
 
 
-def _write(folder: str, tokenizer, width: int, end_id: int):
+def _write(folder: str, tokenizer, pieces: bool, width: int, end_id: int):
     def run(batches):
         part, writer, uri = TaskContext.get().partitionId(), None, ""
         for batch in batches:
@@ -143,7 +143,7 @@ def _write(folder: str, tokenizer, width: int, end_id: int):
             if writer is None:
                 uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tpk"  # every attempt has a file of its own
                 writer = PackedWriter(uri, width)
-            ids, at = encoder(tokenizer.value).encode(batch.column(1))
+            ids, at = encoder(tokenizer.value, pieces).encode(batch.column(1))
             ids = np.insert(ids, at[1:], np.uint32(end_id))
             sizes = np.diff(at) + 1
             writer.add(batch.column(0).to_pylist(), sizes, ids)
@@ -197,7 +197,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     files = ordered.mapInArrow(
-        tidied(_write(folder, tokenizer, id_bits(max(vocabulary_of(source), end_id + 1)), end_id), "encoders"), "part long, uri string, n_docs long, n_ids long"
+        tidied(_write(folder, tokenizer, cuts_apply(source), id_bits(max(vocabulary_of(source), end_id + 1)), end_id), "encoders"), "part long, uri string, n_docs long, n_ids long"
     )
     return materialize(files, f"{folder}/files")
 

@@ -67,11 +67,14 @@ def cuts_apply(tokenizer_json: str) -> bool:
 
 
 class PieceEncoder:
-    def __init__(self, tokenizer_json: str):
+    """``pieces`` says whether texts may be cut; who has asked ``cuts_apply`` before spares every worker from parsing the file."""
+
+    def __init__(self, tokenizer_json: str, pieces: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces = Tokenizer.from_str(tokenizer_json), cuts_apply(tokenizer_json)
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.pieces = cuts_apply(tokenizer_json) if pieces is None else pieces
         self.forget()
 
     def forget(self) -> None:
@@ -146,9 +149,9 @@ def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
 
 
-def encoder(tokenizer_json: str) -> PieceEncoder:
+def encoder(tokenizer_json: str, pieces: bool) -> PieceEncoder:
     """This worker's encoder for a tokenizer; it outlives tasks."""
     key = hash(tokenizer_json)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(tokenizer_json)
+        _encoders[key] = PieceEncoder(tokenizer_json, pieces)
     return _encoders[key]
