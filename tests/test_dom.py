@@ -129,3 +129,30 @@ def test_only_the_numbers_asked_for(spark):
     assert (row.page_id, row.t_depth, row.depth) == ("p", 1.0, 1.0)
     with pytest.raises(ValueError):
         parsed_tokens(pages, numbers=("none",))
+
+
+def test_large_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    peaks = []
+    for n in (500, 4000):  # half of all paragraphs share the markup of each bold text
+        items = "".join(f'<p><a href="/{k}">name {k}</a><b>{"xy"[k % 2]}</b> z.</p>' for k in range(n))
+        pages = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([f"<div>{items}</div>"])], ["page_id", "html"])
+        tracemalloc.start()
+        sizes = [x.num_rows for x in dom._rows(pa.int64(), NUMBERS)([pages])]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert sum(sizes) == 3 * n and max(sizes) <= 2 * dom.BATCH_ROWS
+    assert peaks[1] < 10 * peaks[0]
+
+
+def test_a_page_that_fails_late_gives_one_row(monkeypatch):
+    import pyarrow as pa
+
+    gap = PageTokens._gap
+    monkeypatch.setattr(PageTokens, "_gap", lambda self, k, block: 1 / 0 if k == 2 * dom.BATCH_ROWS + 5 else gap(self, k, block))
+    pages = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["<p>a", "<i>x</i>" * 3 * dom.BATCH_ROWS, "<p>b"])], ["page_id", "html"])
+    found = [r for x in dom._rows(pa.int64(), NUMBERS)([pages]) for r in x.select(["page_id", "text", "error"]).to_pylist()]
+    assert [(r["page_id"], r["text"]) for r in found] == [(1, "a"), (2, None), (3, "b")] and found[1]["error"].startswith("ZeroDivisionError")
