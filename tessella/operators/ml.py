@@ -17,7 +17,7 @@ from pyspark.sql.types import AtomicType
 from .analysis import class_weights, importance_topk, rare_class_filter
 from .evaluate import macro_f1
 
-#: Rows of a class that one task puts in order for a split.
+#: A split narrows a class's place by whole buckets of draws until so many rows are left, then by single draws.
 CLASS_ROWS = 100_000
 
 
@@ -36,18 +36,50 @@ def stratified_split(rows: DataFrame, label: str = "label", part: float = 0.2, s
     """Training and test rows; each class gives its part, to the row.
 
     A class of two rows or more has one on either side at least, one of a single row is trained on. Rows are
-    put in order by a hash of their values, and equal rows count one by one. Large classes are cut into
-    groups of about CLASS_ROWS rows first, of which each gives its part.
+    put in order by a hash of their values, and equal rows count one by one. Where the test part ends is found
+    at once, by counts, so only equal rows on either side of that place are ever sorted.
     """
     names = rows.columns
-    groups = rows.groupBy(F.col(label).alias("_label")).agg(F.ceil(F.count("*") / CLASS_ROWS).cast("int").alias("_groups"))
-    found = rows.withColumn("_draw", _draw(rows, seed)).join(F.broadcast(groups), F.col(label).eqNullSafe(F.col("_label")))
-    found = found.withColumn("_group", F.pmod(F.xxhash64("_draw"), F.col("_groups")))
-    own = W.Window.partitionBy("_label", "_group")
-    n = F.count("*").over(own)
-    wanted = F.when(n < 2, 0).otherwise(F.least(n - 1, F.greatest(F.lit(1), F.round(part * n))))
-    found = found.withColumn("_test", F.row_number().over(own.orderBy("_draw")) <= wanted)
-    return found.filter("not _test").select(names), found.filter("_test").select(names)
+    found = rows.withColumn("_draw", _draw(rows, seed))
+    ends = _ends(found, label, part)
+    if ends is None:
+        return rows, rows.filter(F.lit(False))
+    found = found.join(F.broadcast(ends), F.col(label).eqNullSafe(F.col("_label")), "left")
+    tied = F.coalesce((F.col("_draw") == F.col("_end")) & (F.col("_rest") < F.col("_n")), F.lit(False))
+    if ends.filter("_rest < _n").count():
+        place = F.row_number().over(W.Window.partitionBy("_label").orderBy("_draw"))
+        found = found.filter(~tied).withColumn("_place", F.lit(0)).unionByName(found.filter(tied).withColumn("_place", place))
+    else:
+        found = found.withColumn("_place", F.lit(0))
+    test = F.coalesce((F.col("_draw") <= F.col("_end")) & (F.col("_place") <= F.col("_rest")), F.lit(False))
+    return found.filter(~test).select(names), found.filter(test).select(names)
+
+
+def _ends(rows: DataFrame, label: str, part: float) -> DataFrame | None:
+    """(_label, _end, _n, _rest) of classes that are tested on: the last draw of the test part, how many rows have it, and how many of these it takes.
+
+    Draws are counted by their first 16 bits, then by more of them within the bucket in which the part ends.
+    """
+    rows, at, bits = rows.select(F.col(label).alias("_label"), "_draw"), None, 48
+    while True:
+        inside = rows
+        if at is not None:
+            known = at.select(F.col("_label").alias("_known"), "_end", "_rest")
+            inside = rows.join(F.broadcast(known), F.col("_label").eqNullSafe(F.col("_known")) & (F.shiftright("_draw", above) == F.col("_end")))
+        inside = inside.groupBy("_label", F.shiftright("_draw", bits).alias("_bucket"), *(["_rest"] if at is not None else [])).agg(F.count("*").alias("_n"))
+        own = W.Window.partitionBy("_label")
+        n = F.sum("_n").over(own)
+        wanted = F.when(n < 2, 0).otherwise(F.least(n - 1, F.greatest(F.lit(1), F.round(part * n)))).cast("long") if at is None else F.col("_rest")
+        inside = inside.withColumns({"_wanted": wanted, "_before": F.sum("_n").over(own.orderBy("_bucket")) - F.col("_n")})
+        last = inside.filter("_before < _wanted and _wanted <= _before + _n")
+        found = last.select("_label", F.col("_bucket").alias("_end"), "_n", (F.col("_wanted") - F.col("_before")).alias("_rest"))
+        kept = found.collect()
+        if not kept:
+            return None
+        at = rows.sparkSession.createDataFrame(kept, found.schema)
+        if not bits:
+            return at
+        above, bits = bits, 0 if max(r._n for r in kept) <= CLASS_ROWS else bits - 16
 
 
 def balanced(rows: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:

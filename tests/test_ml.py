@@ -66,3 +66,19 @@ def test_forest(rows):
     found = {r.feature: r.importance for r in ml.forest_importances(rows, ["x", "y"], trees=10).collect()}
     assert sum(found.values()) == pytest.approx(1) and min(found.values()) > 0.1
     assert {r.feature for r in ml.select_features(rows, ["x", "y"], share=1.0, trees=10).collect()} == {"x", "y"}
+
+
+@pytest.mark.parametrize("size", [100_000, 50])
+def test_split_is_exact_whatever_the_size_of_classes(spark, monkeypatch, size):
+    monkeypatch.setattr(ml, "CLASS_ROWS", size)
+    data = [("many", k) for k in range(1013)] + [("alike", 7)] * 258 + [(None, k) for k in range(13)] + [("two", 1)] * 2 + [("one", 1)]
+    rows = spark.createDataFrame(data, "label string, x long").repartition(3)
+    train, test = (x.collect() for x in ml.stratified_split(rows))
+    found = {k: sum(r.label == k for r in test) for k in ("many", "alike", None, "two", "one")}
+    assert found == {"many": 203, "alike": 52, None: 3, "two": 1, "one": 0}
+    assert sorted(map(str, map(tuple, train + test))) == sorted(map(str, data))
+
+
+def test_split_of_nothing(spark):
+    train, test = ml.stratified_split(spark.createDataFrame([], "label string, x long"))
+    assert (train.count(), test.count()) == (0, 0)
