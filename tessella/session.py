@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_FALLBACK).rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a work folder on any file system that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of queries that run inside go when their query ends, and not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows dealt over all cores, where they come from files too few and too small to occupy them; else as they are."""
     if rows.isStreaming:

@@ -82,3 +82,27 @@ def test_split_is_exact_whatever_the_size_of_classes(spark, monkeypatch, size):
 def test_split_of_nothing(spark):
     train, test = ml.stratified_split(spark.createDataFrame([], "label string, x long"))
     assert (train.count(), test.count()) == (0, 0)
+
+
+def test_turns_of_training_read_written_rows(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    kept = rows.filter("label < 'd'")
+    ml.train_classifier(kept.mapInArrow(counted, kept.schema), ["x", "y"], epochs=20, step=5, patience=4)
+    assert seen.value <= 8 * kept.count()
+
+
+def test_scores_are_those_of_the_report(rows):
+    from pyspark.sql import functions as F
+
+    from tessella.operators.evaluate import macro_f1
+
+    model, history = ml.train_classifier(rows, ["x", "y"], epochs=5, step=5)
+    loss, score = ml._scores(model, rows.withColumn("label", F.when(F.col("x") > -9, F.col("label"))), "label")
+    scored = ml.predict(model, rows, ["x", "y"]).filter("x > -9")
+    assert score == pytest.approx(macro_f1(scored, "label", "predicted_label").first().macro_f1) and 0 < loss < 5

@@ -34,6 +34,19 @@ def test_learning_queries(spark):
     assert report.loc["accuracy", "f1"] >= 0.99 and report.loc["accuracy", "support"] == sum(report.support[x] for x in ("a", "p", "b", "h1", "li", "title", "O") if x in report.index)
 
 
+def test_training_rows_in_parts(spark, monkeypatch):
+    from tessella import queries
+
+    whole = queries._training_rows(spark, DATA)
+    monkeypatch.setattr(queries, "PART_BYTES", 1000)
+    parts = queries._training_rows(spark, DATA)
+    places = lambda rows: sorted(map(tuple, rows.select("page_id", "position", "label", "length", "tf_log").collect()))
+    assert places(whole.selectExpr("page_id", "position", "label", "round(length, 6) length", "round(tf_log, 6) tf_log")) == places(
+        parts.selectExpr("page_id", "position", "label", "round(length, 6) length", "round(tf_log, 6) tf_log")
+    )
+    assert len(parts.inputFiles()) > len(whole.inputFiles())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
