@@ -75,6 +75,58 @@ def test_long_texts_without_cuts(encoder, text):
     assert ids.tolist() == [y for t in (text, "x", text) for y in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
 
 
+class Counting:
+    """A tokenizer that counts the texts that it encodes."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_go_through_the_library_together():
+    encoder = token_encode.PieceEncoder(open(PATH).read())
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    texts = [" ".join(f"w{chr(97 + k % 26)}é{chr(97 + k // 26)}" for k in range(lo, lo + 60)) for lo in range(0, 600, 60)]
+    ids, at = encoder.encode(pa.array(texts))
+    assert counting.texts <= 20  # 600 words; the first of each text goes alone
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == counting.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(
+    st.lists(st.lists(st.sampled_from([*PARTS, " a", " é", " 日", " .", " <|endoftext|>", " 's", " \xa0x", " x\xa0", " Ã", " à"]), max_size=14).map("".join), max_size=6),
+    st.integers(2, 24),
+)
+def test_joined_pieces_keep_their_ids(encoder, texts, size):
+    encoder.forget()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_encode, "JOINED_BYTES", size)
+        ids, at = encoder.encode(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_other_lengths_and_missing_bytes(docs):
+    import json
+
+    column = pa.array(docs.text.tolist()[:20])
+    wrong = token_encode.PieceEncoder(open(PATH).read())
+    wrong.lengths[wrong.tokenizer.token_to_id("e")] = 2
+    model = json.loads(open(PATH).read())["model"]
+    model["merges"] = [x for x in model["merges"] if not any("z" in y for y in x)]
+    model["vocab"] = {x: k for x, k in model["vocab"].items() if "z" not in x}
+    missing = token_encode.PieceEncoder(changed(model=model))
+    assert missing.pieces and missing.lengths is None
+    for encoder in (wrong, missing):
+        ids, at = encoder.encode(column)
+        for k, text in enumerate(column.to_pylist()):
+            assert ids[at[k] : at[k + 1]].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_an_id_that_does_not_fit_raises(tmp_path):
     writer = PackedWriter(f"file://{tmp_path}/a.tpk", 8)
     with pytest.raises(ValueError):
